@@ -115,8 +115,7 @@ def language_code(column: Column) -> Column:
     code = F.regexp_extract(F.lower(F.trim(column)), "^[a-z]+", 0)
     #: Three-letter codes whose first two letters are not the two-letter code.
     odd = {"deu": "de", "ger": "de", "spa": "es", "por": "pt", "zho": "zh", "jpn": "ja", "pol": "pl", "swe": "sv", "tur": "tr", "nld": "nl", "ces": "cs"}
-    for three, two in odd.items():
-        code = F.when(code == three, two).otherwise(code)
+    code = F.coalesce(F.create_map(*[F.lit(x) for pair in odd.items() for x in pair])[code], code)
     return F.when(code.isNull() | (code == ""), "unknown").otherwise(F.substring(code, 1, 2))
 
 
