@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import table
 from .byte_bpe import encode_texts, token_counts
 from .containers import fill_report, pack_texts
+from .leakage import leaked_items
+from .splitting import must_split, split_texts
 from .subword_trie import token_budget
 from .text_quality import not_prose, text_statistics
 
@@ -29,6 +31,18 @@ def p2_token_budget(spark: SparkSession, d: str) -> DataFrame:
     return token_budget(table(spark, d, "denoise_dataset"), table(spark, d, "crawl_rows"), BYTE_BPE)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "denoise_dataset"), table(spark, d, "doc"), "chunk_id", "chunk_body")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return must_split(table(spark, d, "denoise_dataset"), "chunk_id", "chunk_body", "chunk_size", "chunk_overlap")
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_texts(table(spark, d, "denoise_dataset"), "chunk_id", "chunk_body", "chunk_size", "chunk_overlap")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"), "doc_id", "text", BYTE_BPE)
 
@@ -41,7 +55,9 @@ def p8_fill_report(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p8_containers(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_text_statistics, p2_token_budget, p7_ids, p8_containers, p8_fill_report)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p1_found, p1_text_statistics, p2_token_budget, p4_found, p6_found, p6_pieces, p7_ids, p8_containers, p8_fill_report)
+}
 
 #: No query of this package can be written in SQL; each is tested against a plain version of itself.
 ORACLE_SQL: dict[str, str] = {}
