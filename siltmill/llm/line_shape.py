@@ -11,7 +11,7 @@ from .text_batch import LETTER, MARK, NUMBER, OTHER, SPACE, TextBlock, is_in, wo
 #: Frequent function words of English, French, Spanish and German.
 COMMON_WORDS = (
     "the a an of to in at by and or for with on is are was were be been that this it they we you he she her his not but as have had has would so all from their there what when if who how one no than "
-    "le la les un une des et est que qui dans sur pour pas ce il elle on au du en avec son sa plus puis "
+    "de le la les un une des et est que qui dans sur pour pas ce il elle on au du en avec son sa plus puis "
     "el los las una y por con su se es lo al muy pero para como del sin más "
     "der die das und den von zu ist nicht ein eine im auf mit sich wird war dem des dass sind so noch aber nach hat wer für"
 ).split()
