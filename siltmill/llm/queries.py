@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
+from .abuse import abuse_rate, score_abuse
 from .byte_bpe import encode_texts, token_counts
 from .containers import fill_report, pack_texts
 from .leakage import leaked_items
+from .page_body import main_text, site_lines
 from .splitting import must_split, split_texts
 from .subword_trie import token_budget
 from .text_quality import not_prose, text_statistics
+from .truncation import cut_rate, score_ends
 
 #: Where the vocabulary files of the public tokenizers lie, on the driver and on every executor.
 TOKENIZERS = "/opt/tokenizers"
@@ -31,10 +34,30 @@ def p2_token_budget(spark: SparkSession, d: str) -> DataFrame:
     return token_budget(table(spark, d, "denoise_dataset"), table(spark, d, "crawl_rows"), BYTE_BPE)
 
 
+def p3_scores(spark: SparkSession, d: str) -> DataFrame:
+    return score_ends(table(spark, d, "denoise_dataset"), "chunk_id", "chunk_body", "max_new_tokens", ("source_parquet",))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_scores(spark, d).where("is_cut").select("chunk_id")
+
+
+def p3_cut_rate(spark: SparkSession, d: str) -> DataFrame:
+    return cut_rate(p3_scores(spark, d), "source_parquet")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "denoise_dataset"), table(spark, d, "doc"), "chunk_id", "chunk_body")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return site_lines(table(spark, d, "denoise_dataset"), "chunk_id", "chunk_body")
+
+
+def p5_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return main_text(table(spark, d, "denoise_dataset"), "chunk_id", "chunk_body")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return must_split(table(spark, d, "denoise_dataset"), "chunk_id", "chunk_body", "chunk_size", "chunk_overlap")
 
@@ -55,9 +78,22 @@ def p8_fill_report(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p8_containers(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_text_statistics, p2_token_budget, p4_found, p6_found, p6_pieces, p7_ids, p8_containers, p8_fill_report)
-}
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return score_abuse(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_scores(spark, d).where("is_abusive").select("doc_id")
+
+
+def p9_abuse_rate(spark: SparkSession, d: str) -> DataFrame:
+    return abuse_rate(p9_scores(spark, d))
+
+
+ALL = (
+    p1_found, p1_text_statistics, p2_token_budget, p3_found, p3_scores, p3_cut_rate, p4_found, p5_found, p5_main_text, p6_found, p6_pieces, p7_ids, p8_containers, p8_fill_report, p9_found, p9_scores, p9_abuse_rate
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
 
 #: No query of this package can be written in SQL; each is tested against a plain version of itself.
 ORACLE_SQL: dict[str, str] = {}
