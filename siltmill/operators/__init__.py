@@ -1 +1 @@
-
+"""Operators on DataFrames and columns."""
