@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
@@ -48,20 +50,26 @@ def dissimilarity(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(0.0)).when((a == "") | (b == ""), total.cast("double")).otherwise((total - 2 * shared).cast("double"))
 
 
-@F.pandas_udf(K.StringType())
-def character_keep_mask(references: pd.Series, outputs: pd.Series) -> pd.Series:
-    """For each character of the reference 1 if the sequence matcher finds it in the output, else 0. For chunks, not for whole books: the matcher's time can grow with the square of the length."""
-    masks = []
-    for a, b in zip(references, outputs):
-        a, b = a or "", b or ""
-        if a == b:
-            masks.append("1" * len(a))
-            continue
-        mask = bytearray(b"0" * len(a))
-        for i, _, n in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks():
-            mask[i : i + n] = b"1" * n
-        masks.append(mask.decode())
-    return pd.Series(masks)
+def character_keep_mask(reference: str, output: str) -> str:
+    """For each character of the reference 1 if the sequence matcher finds it in the output, else 0."""
+    if reference == output:
+        return "1" * len(reference)
+    mask = bytearray(b"0" * len(reference))
+    for i, _, n in difflib.SequenceMatcher(None, reference, output, autojunk=False).get_matching_blocks():
+        mask[i : i + n] = b"1" * n
+    return mask.decode()
+
+
+def keep_masks(df: DataFrame, key: str, reference: str, output: str) -> DataFrame:
+    """key, chars and mask of every row. For chunks, not for whole books: the matcher's time can grow with the square of the length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            masks = [character_keep_mask(x or "", y or "") for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, masks), pa.int64()), pa.array(masks, pa.string())], ["key", "chars", "mask"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("key"), reference, output).mapInArrow(run, f"key {kind}, chars bigint, mask string").withColumnRenamed("key", key)
 
 
 @F.pandas_udf(K.ArrayType(K.StructType([K.StructField("tag", K.StringType()), *(K.StructField(x, K.IntegerType()) for x in ("a1", "a2", "b1", "b2"))])))

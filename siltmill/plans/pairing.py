@@ -136,8 +136,8 @@ def dissimilarity_topk(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def keep_mask(spark: SparkSession, d: str) -> DataFrame:
     """Character masks of edited chunks."""
-    own = refined_chunks(spark, d).select("chunk_id", F.length("chunk_body").alias("chars"), pairs.character_keep_mask("chunk_body", "edited").alias("mask"))
-    return own.select("chunk_id", (F.length("mask") == F.col("chars")).alias("fits"), F.md5("mask").alias("mask"))
+    own = pairs.keep_masks(refined_chunks(spark, d), "chunk_id", "chunk_body", "edited")
+    return own.select("chunk_id", "chars", F.length(F.replace("mask", F.lit("0"), F.lit(""))).cast("bigint").alias("kept"), F.md5("mask").alias("mask"))
 
 
 @query()
