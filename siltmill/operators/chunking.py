@@ -37,10 +37,10 @@ def line_spans(tokens: Column, budget: int) -> Column:
 
 def chunk_lines(df: DataFrame, text: str, budget: int = 1_500, tokens=token_estimate) -> DataFrame:
     """A row for each chunk of labelled lines: chunk (from 0), first_line, last_line, chunk_tokens, chunk_text."""
-    done = df.withColumn("_lines", labelled_lines(F.col(text))).withColumn("_spans", line_spans(F.transform("_lines", lambda x: tokens(x)), budget))
-    done = done.select("*", F.posexplode("_spans").alias("chunk", "_span"))
-    body = F.array_join(F.slice("_lines", F.col("_span.first") + 1, F.col("_span.last") - F.col("_span.first") + 1), "\n")
-    return done.select(*df.columns, "chunk", F.col("_span.first").alias("first_line"), F.col("_span.last").alias("last_line"), F.col("_span.tokens").alias("chunk_tokens"), body.alias("chunk_text"))
+    done = df.withColumn("__lines", labelled_lines(F.col(text))).withColumn("__spans", line_spans(F.transform("__lines", lambda x: tokens(x)), budget))
+    done = done.select("*", F.posexplode("__spans").alias("chunk", "__span"))
+    body = F.array_join(F.slice("__lines", F.col("__span.first") + 1, F.col("__span.last") - F.col("__span.first") + 1), "\n")
+    return done.select(*df.columns, "chunk", F.col("__span.first").alias("first_line"), F.col("__span.last").alias("last_line"), F.col("__span.tokens").alias("chunk_tokens"), body.alias("chunk_text"))
 
 
 def character_cuts(text: Column, size: Column, look_back: int = 500) -> Column:
@@ -69,8 +69,8 @@ def character_cuts(text: Column, size: Column, look_back: int = 500) -> Column:
 def chunk_characters(df: DataFrame, text: str, size: int | Column) -> DataFrame:
     """A row for each chunk of characters: chunk (from 0), start, end, chunk_text. The chunks joined are the text."""
     size = F.lit(size) if isinstance(size, int) else size
-    done = df.withColumn("_ends", character_cuts(F.col(text), size)).select("*", F.posexplode("_ends").alias("chunk", "end"))
-    start = F.coalesce(F.get("_ends", F.col("chunk") - 1), F.lit(0))
+    done = df.withColumn("__ends", character_cuts(F.col(text), size)).select("*", F.posexplode("__ends").alias("chunk", "end"))
+    start = F.coalesce(F.get("__ends", F.col("chunk") - 1), F.lit(0))
     done = done.withColumn("start", F.when(F.col("chunk") == 0, 0).otherwise(start))
     return done.select(*df.columns, "chunk", "start", "end", F.expr(f"substring({text}, start + 1, end - start)").alias("chunk_text"))
 
@@ -78,7 +78,7 @@ def chunk_characters(df: DataFrame, text: str, size: int | Column) -> DataFrame:
 def gather(rows: DataFrame, key: list[str], position: str, value: str, separator: str = "\n") -> DataFrame:
     """key, parts and the values joined in the order of their positions; equal positions by value."""
     ordered = F.array_sort(F.collect_list(F.struct(position, value)))
-    return rows.groupBy(*key).agg(ordered.alias("_parts")).select(*key, F.size("_parts").cast("bigint").alias("parts"), F.array_join(F.transform("_parts", lambda p: F.coalesce(p[value], F.lit(""))), separator).alias("joined"))
+    return rows.groupBy(*key).agg(ordered.alias("__parts")).select(*key, F.size("__parts").cast("bigint").alias("parts"), F.array_join(F.transform("__parts", lambda p: F.coalesce(p[value], F.lit(""))), separator).alias("joined"))
 
 
 def gather_all(documents: DataFrame, rows: DataFrame, key: list[str], position: str, value: str, separator: str = "\n") -> DataFrame:

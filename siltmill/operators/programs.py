@@ -84,19 +84,19 @@ def execute(df: DataFrame, text: str, program: str) -> DataFrame:
 
     The steps are separate projections, so that Spark evaluates the parsed program once for each row.
     """
-    done = df.withColumn("_text", filled(F.col(text))).withColumn("_ops", parse_program(F.col(program)))
+    done = df.withColumn("__text", filled(F.col(text))).withColumn("__ops", parse_program(F.col(program)))
     replaced = F.aggregate(
-        F.filter("_ops", lambda o: o["kind"].isin("delete", "replace") & (o["source"] != "") & ~((o["kind"] == "replace") & (o["source"] == " "))), F.col("_text"), lambda t, o: F.replace(t, o["source"], o["target"])
+        F.filter("__ops", lambda o: o["kind"].isin("delete", "replace") & (o["source"] != "") & ~((o["kind"] == "replace") & (o["source"] == " "))), F.col("__text"), lambda t, o: F.replace(t, o["source"], o["target"])
     )
-    done = done.withColumn("_lines", lines(replaced)).withColumn("_ranges", ranges_of(F.col("_ops")))
-    done = done.withColumn("merged", merged_ranges(F.col("_ranges"))).withColumn("_all", F.exists("_ops", lambda o: o["kind"] == "all"))
-    count = F.size("_lines")
-    kept = F.when(F.col("_all"), F.array().cast("array<string>")).otherwise(F.filter("_lines", lambda line, i: ~F.exists("_ranges", lambda r: (i >= r["first"]) & (i <= r["last"]))))
+    done = done.withColumn("__lines", lines(replaced)).withColumn("__ranges", ranges_of(F.col("__ops")))
+    done = done.withColumn("merged", merged_ranges(F.col("__ranges"))).withColumn("__all", F.exists("__ops", lambda o: o["kind"] == "all"))
+    count = F.size("__lines")
+    kept = F.when(F.col("__all"), F.array().cast("array<string>")).otherwise(F.filter("__lines", lambda line, i: ~F.exists("__ranges", lambda r: (i >= r["first"]) & (i <= r["last"]))))
     beyond = F.size(F.filter("merged", lambda r: (r["first"] >= count) | (r["last"] >= count)))
-    own = F.aggregate("_ops", F.lit(0), lambda n, o: n + o["errors"])
-    done = done.withColumn("_kept", kept).withColumn("errors", (own + beyond).cast("bigint"))
-    done = done.withColumn("edited", F.array_join("_kept", "\n")).withColumn("removed_lines", (count - F.size("_kept")).cast("bigint"))
-    return done.drop("_text", "_ops", "_lines", "_ranges", "_all", "_kept")
+    own = F.aggregate("__ops", F.lit(0), lambda n, o: n + o["errors"])
+    done = done.withColumn("__kept", kept).withColumn("errors", (own + beyond).cast("bigint"))
+    done = done.withColumn("edited", F.array_join("__kept", "\n")).withColumn("removed_lines", (count - F.size("__kept")).cast("bigint"))
+    return done.drop("__text", "__ops", "__lines", "__ranges", "__all", "__kept")
 
 
 def accept(df: DataFrame, text: str, least_share: float = 0.0, drop_share: float = 0.95, most_errors: int = 2, least_words: int = 10) -> DataFrame:
@@ -106,18 +106,18 @@ def accept(df: DataFrame, text: str, least_share: float = 0.0, drop_share: float
     the edited text; else the text as it was. A text without words is empty (status empty_input).
     """
     before, after = word_count(filled(F.col(text))), word_count(F.col("edited"))
-    done = df.withColumn("_before", before).withColumn("_after", after)
-    share, few = F.try_divide(F.col("_after").cast("double"), F.col("_before").cast("double")), F.col("errors") < most_errors
+    done = df.withColumn("__before", before).withColumn("__after", after)
+    share, few = F.try_divide(F.col("__after").cast("double"), F.col("__before").cast("double")), F.col("errors") < most_errors
     status = (
-        F.when(F.col("_before") == 0, "empty_input")
+        F.when(F.col("__before") == 0, "empty_input")
         .when((share <= F.lit(1 - drop_share)) & few, "dropped")
-        .when(F.col("_after") <= least_words, "too_short")
+        .when(F.col("__after") <= least_words, "too_short")
         .when((share >= F.lit(least_share)) & few, "edited")
         .otherwise("original")
     )
     done = done.withColumn("status", status)
     refined = F.when(F.col("status") == "edited", F.col("edited")).when(F.col("status") == "original", filled(F.col(text))).otherwise("")
-    return done.withColumn("refined", refined).drop("_before", "_after")
+    return done.withColumn("refined", refined).drop("__before", "__after")
 
 
 def document_program(text: Column, program: Column) -> Column:
