@@ -18,7 +18,7 @@ from .ordering import with_prefix
 MARK, VERSION = b"LITPKDS", 1
 #: Number types of the packed file by code.
 TYPES = {1: np.uint8, 2: np.int8, 3: np.int16, 4: np.int32, 5: np.int64, 6: np.float32, 7: np.float64, 8: np.uint16}
-HEADER = struct.Struct("<7sQBQ")
+HEADER = "<7sQBQ"
 
 
 def pack_blocks(df: DataFrame, shard: str, order: list[str], ids: str, size: int) -> DataFrame:
@@ -114,7 +114,7 @@ def write_packed(blocks: DataFrame, ids: str, folder: str, size: int, wide: bool
         path, count = Path(folder) / f"part_{part:010d}.bin", 0
         spare = path.with_suffix(f".{TaskContext.get().taskAttemptId()}.tmp")
         with spare.open("wb") as f:
-            f.write(HEADER.pack(MARK, VERSION, code, size))
+            f.write(struct.pack(HEADER, MARK, VERSION, code, size))
             for b in batches:
                 for x in b.column(0).to_pylist():
                     f.write(np.asarray(x, TYPES[code]).tobytes())
@@ -131,10 +131,10 @@ def read_packed(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                mark, version, code, size = HEADER.unpack_from(content)
+                mark, version, code, size = struct.unpack_from(HEADER, content)
                 if mark != MARK or version != VERSION:
                     raise ValueError(f"{path} is no packed file of version {VERSION}")
-                values = np.frombuffer(content, TYPES[code], offset=HEADER.size).reshape(-1, size)
+                values = np.frombuffer(content, TYPES[code], offset=struct.calcsize(HEADER)).reshape(-1, size)
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(values)), pa.array(range(len(values)), pa.int64()), pa.array(values.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["file", "block", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder)
