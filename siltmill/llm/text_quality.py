@@ -66,7 +66,7 @@ def line_kinds(shape: LineShape, repeated: np.ndarray) -> np.ndarray:
     common = s.common / words
     letters = s.letters / chars
     longest = s.letters / words  # mean letters of a word
-    table = ~s.blank & ~s.ends & ((s.cells >= 2) & (common < 0.2) & (s.words > 0) | (s.digits > 0.25 * chars) & (s.words > 1) & (common < 0.15) & (longest < 12))
+    table = ~s.blank & ~s.ends & ((s.cells >= 2) & (common < 0.2) & (s.digits > 0) | (s.digits > 0.25 * chars) & (s.words > 1) & (common < 0.15) & (longest < 12))
     junk = (letters < 0.55) & (s.strange + s.digits > 0.3 * chars) | (s.strange > 0.07 * chars) | (longest > 16) | (s.digits > 0.12 * chars) & (longest > 10) | (s.words == 0) & ~s.blank
     # Entries stand in runs of short lines without a full stop, none of which goes on in lower case.
     short = ~s.blank & ~s.ends & (s.chars <= 75)
