@@ -124,6 +124,7 @@ def extractive_statistics(df: DataFrame, key: str, source: str, summary: str) ->
 
 def numbered_text(lines: Column, tokens: Column, most: int) -> Column:
     """Labelled lines joined until the token sum would pass the limit; that line is cut to the tokens left (four characters each)."""
+    lines, tokens = F.slice(lines, 1, most), F.slice(tokens, 1, most)  # each line has a token at least
     before = F.transform(tokens, lambda _, i: F.aggregate(F.slice(tokens, 1, i), F.lit(0).cast("bigint"), lambda a, b: a + b))
     rows = F.zip_with(F.zip_with(lines, tokens, lambda x, t: F.struct(x.alias("x"), t.alias("t"))), before, lambda r, b: F.struct(r["x"].alias("x"), r["t"].alias("t"), b.alias("b")))
     kept = F.filter(rows, lambda r: r["b"] < most)
@@ -146,12 +147,10 @@ def corpus_bleu(pairs: DataFrame, gold: str, prediction: str, orders: int = 4) -
 def class_f1(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     """F1 of each class against the rest, and their plain and weighted means."""
     pairs = rows.groupBy(truth, guess).agg(F.count("*").alias("n"))
-    classes = pairs.select(F.col(truth).alias("c")).union(pairs.select(F.col(guess))).distinct()
-    # the counts of pairs of classes are few, whatever the number of rows
-    counted = classes.join(pairs, (F.col("c") == F.col(truth)) | (F.col("c") == F.col(guess)))
-    n = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
-    is_true, is_guess = F.col(truth) == F.col("c"), F.col(guess) == F.col("c")
-    each = counted.groupBy("c").agg(n(is_true & is_guess).alias("tp"), n(~is_true & is_guess).alias("fp"), n(is_true & ~is_guess).alias("fn"))
+    t, g, n, none = F.col(truth), F.col(guess), F.col("n"), F.lit(0).cast("bigint")
+    part = lambda c, tp, fp, fn: F.struct(c.alias("c"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+    parts = F.when(t == g, F.array(part(t, n, none, none))).otherwise(F.array(part(t, none, none, n), part(g, none, n, none)))
+    each = pairs.select(F.explode(parts).alias("x")).groupBy("x.c").agg(F.sum("x.tp").alias("tp"), F.sum("x.fp").alias("fp"), F.sum("x.fn").alias("fn"))
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), (2 * F.col("tp") + F.col("fp") + F.col("fn")).cast("double")), F.lit(0.0))
     each = each.withColumn("f1", f1).withColumn("support", F.col("tp") + F.col("fn"))
     means = each.agg(F.avg("f1").alias("macro"), F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support").cast("double")).alias("weighted"), (F.sum("tp") / (F.sum("tp") + F.sum("fn"))).alias("micro"))

@@ -1,7 +1,9 @@
-"""Positions in a global order, shards, limits and caps, without bringing all rows into one task.
+"""Positions in a global order, shards, limits and caps, without bringing all rows or all of a shard into one task.
 
-A running number or sum over all rows is taken in two phases: within each shard, and over the shards' totals, which
-are few. Only the second phase is one task.
+A running number or sum over all rows is taken over the rows in range partitions of even size, whatever their keys:
+within each partition, and over the partitions' totals, of which there are as many as tasks. The partitions are written
+once to the shared folder, as both phases must see the same ones. Only keys and sizes take part; texts are joined to
+the result where they are needed.
 """
 
 from __future__ import annotations
@@ -9,22 +11,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def with_prefix(df: DataFrame, shard: str, order: list[str], value: Column | None = None, name: str = "before") -> DataFrame:
-    """Adds the sum of `value` (rows, if none is given) over all rows that stand before: by shard, then by `order`."""
-    value = F.lit(1) if value is None else value
-    own = Window.partitionBy(shard).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("_own", F.coalesce(F.sum(value).over(own), F.lit(0)))
-    totals = df.groupBy(shard).agg(F.sum(value).alias("_total"))
-    shards = Window.orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(F.col(shard).alias("_shard"), F.coalesce(F.sum("_total").over(shards), F.lit(0)).alias("_start"))
-    joined = rows.join(starts, rows[shard].eqNullSafe(starts["_shard"]))
-    return joined.withColumn(name, (F.col("_start") + F.col("_own")).cast("bigint")).drop("_own", "_start", "_shard")
+from ..session import durable
 
 
-def global_index(df: DataFrame, shard: str, order: list[str]) -> DataFrame:
+def with_prefix(df: DataFrame, order: list[Column | str], value: Column | None = None, name: str = "before") -> DataFrame:
+    """Adds the sum of `value` (rows, if none is given) over all rows that stand before in the order. Give narrow rows."""
+    value = F.lit(1) if value is None else value
+    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    rows = df.withColumn("__value", value).withColumns({f"__key{i}": k for i, k in enumerate(keys)})
+    by = [f"__key{i}" for i in range(len(keys))]
+    rows = durable(rows.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()))
+    own = Window.partitionBy("__part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    parts = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("__part").agg(F.sum("__value").alias("__total"))
+    starts = totals.select("__part", F.coalesce(F.sum("__total").over(parts), F.lit(0)).alias("__start"))
+    done = rows.withColumn("__own", F.coalesce(F.sum("__value").over(own), F.lit(0))).join(starts, "__part")
+    return done.withColumn(name, (F.col("__start") + F.col("__own")).cast("bigint")).select(*df.columns, name)
+
+
+def global_index(df: DataFrame, order: list[Column | str]) -> DataFrame:
     """Adds global_index, from 0."""
-    return with_prefix(df, shard, order, name="global_index")
+    return with_prefix(df, order, name="global_index")
 
 
 def row_range_shard(index: Column, rows: Column, shards: int) -> Column:
@@ -41,19 +48,20 @@ def batch_number(index: Column, size: int | None) -> Column:
     return F.lit(0).cast("bigint") if not size or size <= 0 else F.floor(index / size).cast("bigint")
 
 
-def cap_prefix(df: DataFrame, shard: str, order: list[str], size: Column, most: int) -> DataFrame:
+def cap_prefix(df: DataFrame, order: list[Column | str], size: Column, most: int) -> DataFrame:
     """The longest prefix of the rows whose sizes sum to no more than `most`."""
-    return with_prefix(df, shard, order, size, "_before").where(F.col("_before") + size <= most).drop("_before")
+    return with_prefix(df, order, size, "__before").where(F.col("__before") + size <= most).drop("__before")
 
 
-def budget_prefix(df: DataFrame, shard: str, order: list[str], size: Column, target: int) -> DataFrame:
+def budget_prefix(df: DataFrame, order: list[Column | str], size: Column, target: int) -> DataFrame:
     """The rows until the target is reached, the one that reaches it included."""
-    return with_prefix(df, shard, order, size, "_before").where(F.col("_before") < target).drop("_before")
+    return with_prefix(df, order, size, "__before").where(F.col("__before") < target).drop("__before")
 
 
-def nth_row(df: DataFrame, shard: str, order: list[str], n: int) -> DataFrame:
-    """The row with global index n: shards before and behind are left out by their counts."""
-    return global_index(df, shard, order).where(F.col("global_index") == n)
+def nth_row(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The row with global index n. The index is taken over the keys alone; the row found is joined to its table."""
+    found = global_index(df.select(*order), list(order)).where(F.col("global_index") == n)
+    return df.join(F.broadcast(found), order)
 
 
 def keyed_hash(seed: int, *key: Column) -> Column:
@@ -67,5 +75,6 @@ def top_rows(df: DataFrame, score: str, tie: str, n: int) -> DataFrame:
 
 
 def first_by(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """One row of each key: the first in the order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+    """One row of each key, the first in the order. Partial results are merged, so a hot key is no sort in one task."""
+    rest = [c for c in df.columns if c not in key]
+    return df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__row")).select(*key, "__row.*").select(*df.columns)

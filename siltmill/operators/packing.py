@@ -9,7 +9,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ordering import with_prefix
@@ -21,13 +21,15 @@ TYPES = {1: np.uint8, 2: np.int8, 3: np.int16, 4: np.int32, 5: np.int64, 6: np.f
 HEADER = "<7sQBQ"
 
 
-def pack_blocks(df: DataFrame, shard: str, order: list[str], ids: str, size: int) -> DataFrame:
+def pack_blocks(df: DataFrame, order: list[str], ids: str, size: int) -> DataFrame:
     """block and block_ids: all ids one after another, cut every `size`. The last block is left out if it is not full.
 
-    Offsets are sums in two phases. Each array is cut into its stretches of blocks in place, so no id becomes a row.
+    order: columns that together are unique. Offsets are sums over the arrays' lengths alone; the arrays are joined to
+    them and cut into their stretches of blocks in place, so no id becomes a row.
     """
     n = F.size(ids)
-    rows = with_prefix(df.select(shard, *order, ids), shard, order, n, "_offset").where(n > 0)
+    offsets = with_prefix(df.select(*order, n.alias("__n")), list(order), F.col("__n"), "_offset").drop("__n")
+    rows = df.select(*order, ids).join(offsets, order).where(n > 0)
     first, last = F.floor(F.col("_offset") / size), F.floor((F.col("_offset") + n - 1) / size)
     rows = rows.select(ids, "_offset", F.explode(F.sequence(first, last)).alias("block"))
     begin = F.greatest(F.col("block") * size - F.col("_offset"), F.lit(0))
@@ -73,11 +75,14 @@ def packed_row(examples: Column, separator: int, most: int) -> Column:
 
 
 def length_buckets(df: DataFrame, group: str, key: str, length: Column, buckets: int) -> DataFrame:
-    """Adds place (by falling length within the group) and bucket (places in stretches of equal size, the last shorter)."""
-    own = Window.partitionBy(group)
-    place = F.row_number().over(own.orderBy(length.desc(), key)) - 1
-    rows = F.count("*").over(own)
-    return df.withColumn("place", place.cast("bigint")).withColumn("bucket", F.floor(F.col("place") / F.ceil(rows / buckets)).cast("bigint"))
+    """Adds place (by falling length within the group) and bucket (places in stretches of equal size, the last shorter).
+
+    Places come from one order over all groups, so a group that holds most rows is many tasks.
+    """
+    placed = with_prefix(df, [group, -length, key], name="__at")
+    sizes = placed.groupBy(group).agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))
+    placed = placed.join(sizes, group).withColumn("place", (F.col("__at") - F.col("__first")).cast("bigint"))
+    return placed.withColumn("bucket", F.floor(F.col("place") / F.ceil(F.col("__rows") / buckets)).cast("bigint")).drop("__at", "__first", "__rows")
 
 
 def sampler_rows(index: Column, rows: Column, replicas: int) -> tuple[Column, Column]:

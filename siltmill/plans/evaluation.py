@@ -272,8 +272,8 @@ def prompts_of_items(spark: SparkSession, d: str) -> DataFrame:
 def padded_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """Mean accuracy by turn; documents with fewer turns keep their last one."""
     rows = table(spark, d, "labels").where("quality IS NOT NULL").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("labelled_at", "quality"))), lambda x: (x["quality"] >= 3).cast("int")).alias("s"))
-    width = rows.agg(F.max(F.size("s")).alias("m"))
-    turns = rows.crossJoin(F.broadcast(width)).select("s", F.explode(F.sequence(F.lit(1), "m")).alias("col"))
+    width = rows.agg(F.max(F.size("s"))).first()[0] or 1
+    turns = rows.select("s", F.explode(F.sequence(F.lit(1), F.lit(width))).alias("col"))
     return turns.groupBy(F.col("col").cast("bigint").alias("col")).agg(F.round(100 * F.avg(F.element_at("s", F.least("col", F.size("s")))), 1).alias("accuracy"))
 
 

@@ -16,7 +16,7 @@ _INDEX = "row_number() OVER (ORDER BY source, doc_id) - 1"
 
 
 def indexed(spark: SparkSession, d: str) -> DataFrame:
-    return ordering.global_index(documents(spark, d).select("source", "doc_id", "text"), "source", ["doc_id"])
+    return ordering.global_index(documents(spark, d).select("source", "doc_id", F.length("text").alias("chars")), ["source", "doc_id"])
 
 
 @query(f"SELECT doc_id, CAST({_INDEX} AS BIGINT) AS global_index FROM documents")
@@ -27,26 +27,27 @@ def global_index(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT doc_id, CAST(r AS BIGINT) AS shard, CAST(i % 7 AS BIGINT) AS turn, CAST(i // 100 AS BIGINT) AS batch FROM (SELECT doc_id, {_INDEX} AS i, count(*) OVER () AS n FROM documents) JOIN range(7) t(r) ON i >= n * r // 7 AND i < n * (r + 1) // 7")
 def row_range_shard(spark: SparkSession, d: str) -> DataFrame:
     """Shards by ranges of rows and in turn, and batches, for 7 readers."""
-    rows = table(spark, d, "documents").agg(F.count("*").alias("n"))
+    rows = F.lit(table(spark, d, "documents").count())  # from the files' footers
     i = F.col("global_index")
-    return indexed(spark, d).crossJoin(F.broadcast(rows)).select("doc_id", ordering.row_range_shard(i, F.col("n"), 7).alias("shard"), ordering.round_robin_shard(i, 7).alias("turn"), ordering.batch_number(i, 100).alias("batch"))
+    return indexed(spark, d).select("doc_id", ordering.row_range_shard(i, rows, 7).alias("shard"), ordering.round_robin_shard(i, 7).alias("turn"), ordering.batch_number(i, 100).alias("batch"))
 
 
 @query(f"SELECT doc_id, chars FROM (SELECT doc_id, CAST(length({TEXT}) AS BIGINT) AS chars, sum(length({TEXT})) OVER (ORDER BY source, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM documents) WHERE upto <= 1000000")
 def cap_prefix(spark: SparkSession, d: str) -> DataFrame:
     """The documents that fit into a cap of a million characters, in order."""
-    capped = ordering.cap_prefix(documents(spark, d).select("source", "doc_id", "text"), "source", ["doc_id"], F.length("text"), 1_000_000)
-    return capped.select("doc_id", F.length("text").cast("bigint").alias("chars"))
+    sizes = documents(spark, d).select("source", "doc_id", F.length("text").cast("bigint").alias("chars"))
+    return ordering.cap_prefix(sizes, ["source", "doc_id"], F.col("chars"), 1_000_000).select("doc_id", "chars")
 
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, coalesce(sum(length({TEXT})) OVER (ORDER BY source, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before < 1000000")
 def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return ordering.budget_prefix(documents(spark, d).select("source", "doc_id", "text"), "source", ["doc_id"], F.length("text"), 1_000_000).select("doc_id")
+    sizes = documents(spark, d).select("source", "doc_id", F.length("text").alias("chars"))
+    return ordering.budget_prefix(sizes, ["source", "doc_id"], F.col("chars"), 1_000_000).select("doc_id")
 
 
 @query(f"SELECT doc_id, md5({TEXT}) AS text FROM documents QUALIFY {_INDEX} = 77")
 def nth_document(spark: SparkSession, d: str) -> DataFrame:
-    return ordering.nth_row(documents(spark, d).select("source", "doc_id", "text"), "source", ["doc_id"], 77).select("doc_id", F.md5("text").alias("text"))
+    return ordering.nth_row(documents(spark, d).select("source", "doc_id", "text"), ["source", "doc_id"], 77).select("doc_id", F.md5("text").alias("text"))
 
 
 @query("SELECT source_parquet, source_row_index, c.num_chunks AS num_chunks, r.id IS NOT NULL AS has_source FROM (" + _OUTPUTS + ") c LEFT JOIN (SELECT source_parquet, source_row_index, any_value(id) AS id FROM crawl_rows GROUP BY ALL) r USING (source_parquet, source_row_index)")
@@ -187,7 +188,7 @@ def causal_labels(spark: SparkSession, d: str) -> DataFrame:
     SELECT pos // 512 AS block, md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos)) AS ids FROM g GROUP BY 1 HAVING count(*) = 512"""
 )
 def pack_blocks(spark: SparkSession, d: str) -> DataFrame:
-    blocks = packing.pack_blocks(word_lengths(spark, d), "source", ["doc_id"], "ids", 512)
+    blocks = packing.pack_blocks(word_lengths(spark, d), ["source", "doc_id"], "ids", 512)
     return blocks.select("block", F.md5(F.array_join(F.col("block_ids").cast("array<string>"), ",")).alias("ids"))
 
 
@@ -226,15 +227,14 @@ def generation_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, CAST(i % 7 AS BIGINT) AS replica, CAST(CASE WHEN i = n - 1 THEN 1 + (7 - n % 7) % 7 ELSE 1 END AS BIGINT) AS reads FROM (SELECT doc_id, {_INDEX} AS i, count(*) OVER () AS n FROM documents)")
 def sampler_replicas(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").agg(F.count("*").alias("n"))
-    replica, reads = packing.sampler_rows(F.col("global_index"), F.col("n"), 7)
-    return indexed(spark, d).crossJoin(F.broadcast(rows)).select("doc_id", replica.alias("replica"), reads.alias("reads"))
+    replica, reads = packing.sampler_rows(F.col("global_index"), F.lit(table(spark, d, "documents").count()), 7)
+    return indexed(spark, d).select("doc_id", replica.alias("replica"), reads.alias("reads"))
 
 
 @query()
 def load_balance(spark: SparkSession, d: str) -> DataFrame:
     """Documents of batches of 64 dealt to 4 bins with even sums of squared lengths."""
-    own = indexed(spark, d).select("doc_id", F.floor(F.col("global_index") / 64).alias("batch"), F.length("text").alias("length"))
+    own = indexed(spark, d).select("doc_id", F.floor(F.col("global_index") / 64).alias("batch"), F.col("chars").alias("length"))
     dealt = packing.balance(own, "batch", "doc_id", "length", 4)
     return dealt.select("batch", "doc_id", "bin")
 

@@ -20,9 +20,9 @@ def test_prefix_sums_do_not_depend_on_partitions(spark, partitions):
     for s, i, n in sorted(rows):
         expected[i] = total
         total += n
-    got = {r["i"]: r["before"] for r in ordering.with_prefix(df, "s", ["i"], F.col("n")).collect()}
+    got = {r["i"]: r["before"] for r in ordering.with_prefix(df, ["s", "i"], F.col("n")).collect()}
     assert got == expected
-    assert sorted(r["global_index"] for r in ordering.global_index(df, "s", ["i"]).collect()) == list(range(300))
+    assert sorted(r["global_index"] for r in ordering.global_index(df, ["s", "i"]).collect()) == list(range(300))
 
 
 def test_row_ranges(spark):
@@ -34,7 +34,7 @@ def test_row_ranges(spark):
 
 def test_caps(spark):
     df = spark.createDataFrame([("a", 0, 5), ("a", 1, 5), ("b", 0, 0), ("b", 1, 1)], "s string, i int, n int")
-    count = lambda f, m: f(df, "s", ["i"], F.col("n"), m).count()
+    count = lambda f, m: f(df, ["s", "i"], F.col("n"), m).count()
     assert [count(ordering.cap_prefix, m) for m in (4, 5, 9, 10, 11)] == [0, 1, 1, 3, 4]
     assert [count(ordering.budget_prefix, m) for m in (1, 5, 6, 10, 11)] == [1, 1, 2, 2, 4]
 
@@ -72,7 +72,7 @@ def test_packing_conserves_tokens(spark):
     rows = [(rng.choice("ab"), i, [i * 100 + j for j in range(rng.randint(0, 30))]) for i in range(50)]
     df = spark.createDataFrame(rows, "s string, i int, ids array<int>")
     flat = [x for r in sorted(rows) for x in r[2]]
-    got = packing.pack_blocks(df, "s", ["i"], "ids", 16).orderBy("block").collect()
+    got = packing.pack_blocks(df, ["s", "i"], "ids", 16).orderBy("block").collect()
     assert [x for r in got for x in r["block_ids"]] == flat[: len(flat) // 16 * 16]
 
 
