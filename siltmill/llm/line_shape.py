@@ -54,6 +54,7 @@ class LineShape:
         self.chars = b.per_line(visible)
         self.letters = b.per_line((kinds == LETTER) | (kinds == MARK))
         self.digits = b.per_line(kinds == NUMBER)
+        self.other_script = b.per_line((kinds == LETTER) & (codes >= 0x370))
         strange = (kinds == OTHER) & ~_look(codes, "prose") & ~_look(codes, "bullet") & ~_look(codes, "cell")
         self.strange = b.per_line(strange)
         self.words = b.words_per_line()

@@ -65,7 +65,9 @@ def line_kinds(shape: LineShape, repeated: np.ndarray) -> np.ndarray:
     chars, words = np.maximum(s.chars, 1), np.maximum(s.words, 1)
     common = s.common / words
     letters = s.letters / chars
-    longest = s.letters / words  # mean letters of a word
+    # scripts other than Latin, some of which set no blanks between words
+    other_script = s.other_script > 0.5 * np.maximum(s.letters, 1)
+    longest = np.where(other_script, 5, s.letters / words)  # mean letters of a word
     table = ~s.blank & ~s.ends & ((s.cells >= 2) & (common < 0.2) & (s.digits > 0) | (s.digits > 0.25 * chars) & (s.words > 1) & (common < 0.15) & (longest < 12))
     junk = (letters < 0.55) & (s.strange + s.digits > 0.3 * chars) | (s.strange > 0.07 * chars) | (longest > 16) | (s.digits > 0.12 * chars) & (longest > 10) | (s.words == 0) & ~s.blank
     # Entries stand in runs of short lines without a full stop, none of which goes on in lower case.
@@ -89,6 +91,7 @@ def line_kinds(shape: LineShape, repeated: np.ndarray) -> np.ndarray:
     prose = (around >= 0.12) & ((s.words >= 3) | wrapped) | (common >= 0.07) & (s.words >= 9)
     # A language without words in the list: long sentences of ordinary length words with an end.
     foreign = s.ends & (s.words >= 10) & (letters > 0.8) & (s.common == 0) & ~s.lower_start
+    foreign |= other_script & (letters > 0.7) & ((s.words >= 6) | (s.chars >= 20))
     kinds = np.where(prose | foreign, PROSE, LIST)
     kinds[entry] = LIST
     kinds[junk] = JUNK

@@ -237,6 +237,7 @@ PROSE = "It took Ann 48 weeks to learn that the pulse could not be compared alon
         (PROSE + "\n* one thing\n* two things\n* three", "prose"), ("\n".join(f"* old thing {i}" for i in range(9)), "list"), ("old wages; rough prices; plain receipts; gentle clerks; cold fees; empty ledgers", "list"), ("a | 3 | 5%\nb | 4 | 7%\nc | 1 | 2%", "table"),
         ("=====\n" * 9, "junk"), ((PROSE[:74] + " ") * 6, "junk"), ("dJu8c6yerKisMJQd2um6qJpqcSydQHGjQqMv219yLz6P7qd5qkO2umiZENlqTjJmk4Qr9a4cD0yHfhCrA52", "junk"), ("", "empty"), (None, "empty"), (" \n\t ", "empty"),
         ("News | Shop | About us\nHome\nContact\nPress", "list"), ("Jedno przykładowe zdanie składające się z wielu zwykłych słów, które tworzą sensowną i dłuższą całość.", "prose"),
+        ("昨日の夜、私たちは小さな村の図書館で古い地図を見つけました。誰もその名前を知りませんでした。", "prose"), ("Вчера вечером мы нашли в маленькой деревенской библиотеке старую карту, и никто не знал её имени.", "prose"),
     ],
 )
 def test_kinds(text, kind):
