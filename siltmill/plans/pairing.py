@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ordering, packing, pairs, sampling
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .refining import _CHUNKS, _OUTPUTS, TEXT, WS, distinct_outputs, documents, refined_chunks
 from .registry import query
 
@@ -137,7 +137,9 @@ def dissimilarity_topk(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def keep_mask(spark: SparkSession, d: str) -> DataFrame:
     """Character masks of edited chunks."""
-    own = pairs.keep_masks(refined_chunks(spark, d), "chunk_id", "chunk_body", "edited")
+    # the matcher takes far longer than moving its rows: as many tasks as there are cores, whatever the join came out in
+    rows = refined_chunks(spark, d).select("chunk_id", "chunk_body", "edited").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "chunk_id")
+    own = pairs.keep_masks(rows, "chunk_id", "chunk_body", "edited")
     return own.select("chunk_id", "chars", F.length(F.replace("mask", F.lit("0"), F.lit(""))).cast("bigint").alias("kept"), F.md5("mask").alias("mask"))
 
 
@@ -152,7 +154,7 @@ _WORDS = f"list_filter(regexp_split_to_array({TEXT}, '{WS}'), lambda w: w <> '')
 
 def word_lengths(spark: SparkSession, d: str) -> DataFrame:
     """Documents with their words' lengths, which stand in for token ids."""
-    return documents(spark, d).select("source", "doc_id", F.transform(T.words(F.col("text")), lambda w: F.length(w)).alias("ids"))
+    return spread(documents(spark, d).select("source", "doc_id", "text")).select("source", "doc_id", F.transform(T.words(F.col("text")), lambda w: F.length(w)).alias("ids"))
 
 
 @query(

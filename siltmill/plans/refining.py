@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, models, ordering, programs
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .registry import query
 
 #: White space and line ends for the oracle's regular expressions.
@@ -80,7 +80,7 @@ def document_program_drop(spark: SparkSession, d: str) -> DataFrame:
 
 def refined_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents refined by the rule model's programs."""
-    own = documents(spark, d).withColumn("program", models.rule_program(F.col("text")))
+    own = spread(documents(spark, d).select("doc_id", "text")).withColumn("program", models.rule_program(F.col("text")))
     return programs.accept(programs.execute(own, "text", "program"), "text")
 
 
@@ -210,7 +210,7 @@ def merge_intervals(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, chunk, CAST(first AS BIGINT) AS first_line, CAST(max(n) - 1 AS BIGINT) AS last_line, CAST(max(tok) AS BIGINT) AS chunk_tokens FROM f GROUP BY doc_id, chunk, first"""
 )
 def chunk_lines(spark: SparkSession, d: str) -> DataFrame:
-    done = chunking.chunk_lines(documents(spark, d).select("doc_id", "text"), "text", 200)
+    done = chunking.chunk_lines(spread(documents(spark, d).select("doc_id", "text")), "text", 200)
     return done.select("doc_id", *(F.col(c).cast("bigint").alias(c) for c in ("chunk", "first_line", "last_line", "chunk_tokens")))
 
 
@@ -220,7 +220,7 @@ def chunk_lines(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, chunk, CAST(length(piece) AS BIGINT) AS chars, md5(piece) AS chunk_text FROM f WHERE chunk >= 0"""
 )
 def chunk_characters(spark: SparkSession, d: str) -> DataFrame:
-    done = chunking.chunk_characters(documents(spark, d).select("doc_id", "text"), "text", 1_000)
+    done = chunking.chunk_characters(spread(documents(spark, d).select("doc_id", "text")), "text", 1_000)
     return done.select("doc_id", F.col("chunk").cast("bigint").alias("chunk"), (F.col("end") - F.col("start")).cast("bigint").alias("chars"), F.md5("chunk_text").alias("chunk_text"))
 
 

@@ -8,3 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table `name` of the folder: one Parquet file or a folder of files."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows in at least as many partitions as the cluster has cores. A small input that lies in one or two row groups would
+    keep all but one or two cores idle; a large one has more partitions anyway and is left as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
