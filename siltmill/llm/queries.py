@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .abuse import abuse_rate, score_abuse
 from .byte_bpe import encode_texts, token_counts
 from .containers import fill_report, pack_texts
@@ -22,20 +22,28 @@ TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
+def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return spread(table(spark, d, "denoise_dataset").select("chunk_id", "chunk_body", *columns))
+
+
+def texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text", *columns))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return not_prose(table(spark, d, "denoise_dataset"), "chunk_id", "chunk_body")
+    return not_prose(chunks(spark, d), "chunk_id", "chunk_body")
 
 
 def p1_text_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return text_statistics(table(spark, d, "denoise_dataset"), "chunk_id", "chunk_body")
+    return text_statistics(chunks(spark, d), "chunk_id", "chunk_body")
 
 
 def p2_token_budget(spark: SparkSession, d: str) -> DataFrame:
-    return token_budget(table(spark, d, "denoise_dataset"), table(spark, d, "crawl_rows"), BYTE_BPE)
+    return token_budget(chunks(spark, d, "source_parquet", "source_row_index", "dataset_type"), table(spark, d, "crawl_rows"), BYTE_BPE)
 
 
 def p3_scores(spark: SparkSession, d: str) -> DataFrame:
-    return score_ends(table(spark, d, "denoise_dataset"), "chunk_id", "chunk_body", "max_new_tokens", ("source_parquet",))
+    return score_ends(chunks(spark, d, "max_new_tokens", "source_parquet"), "chunk_id", "chunk_body", "max_new_tokens", ("source_parquet",))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -47,31 +55,31 @@ def p3_cut_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaked_items(table(spark, d, "denoise_dataset"), table(spark, d, "doc"), "chunk_id", "chunk_body")
+    return leaked_items(chunks(spark, d), table(spark, d, "doc"), "chunk_id", "chunk_body")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return site_lines(table(spark, d, "denoise_dataset"), "chunk_id", "chunk_body")
+    return site_lines(chunks(spark, d), "chunk_id", "chunk_body")
 
 
 def p5_main_text(spark: SparkSession, d: str) -> DataFrame:
-    return main_text(table(spark, d, "denoise_dataset"), "chunk_id", "chunk_body")
+    return main_text(chunks(spark, d), "chunk_id", "chunk_body")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return must_split(table(spark, d, "denoise_dataset"), "chunk_id", "chunk_body", "chunk_size", "chunk_overlap")
+    return must_split(chunks(spark, d, "chunk_size", "chunk_overlap"), "chunk_id", "chunk_body", "chunk_size", "chunk_overlap")
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return split_texts(table(spark, d, "denoise_dataset"), "chunk_id", "chunk_body", "chunk_size", "chunk_overlap")
+    return split_texts(chunks(spark, d, "chunk_size", "chunk_overlap"), "chunk_id", "chunk_body", "chunk_size", "chunk_overlap")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode_texts(table(spark, d, "documents"), "doc_id", "text", BYTE_BPE)
+    return encode_texts(texts(spark, d), "doc_id", "text", BYTE_BPE)
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    return pack_texts(token_counts(table(spark, d, "documents"), "doc_id", "text", BYTE_BPE), table(spark, d, "pack_config"))
+    return pack_texts(token_counts(texts(spark, d), "doc_id", "text", BYTE_BPE), table(spark, d, "pack_config"))
 
 
 def p8_fill_report(spark: SparkSession, d: str) -> DataFrame:
