@@ -36,11 +36,15 @@ def line_spans(tokens: Column, budget: int) -> Column:
 
 
 def chunk_lines(df: DataFrame, text: str, budget: int = 1_500, tokens=token_estimate) -> DataFrame:
-    """A row for each chunk of labelled lines: chunk (from 0), first_line, last_line, chunk_tokens, chunk_text."""
+    """A row for each chunk of labelled lines: the other columns and chunk (from 0), first_line, last_line, chunk_tokens, chunk_text.
+
+    The chunks are made within the row; the whole text is not carried into theirs.
+    """
+    rest = [c for c in df.columns if c != text]
     done = df.withColumn("__lines", labelled_lines(F.col(text))).withColumn("__spans", line_spans(F.transform("__lines", lambda x: tokens(x)), budget))
-    done = done.select("*", F.posexplode("__spans").alias("chunk", "__span"))
-    body = F.array_join(F.slice("__lines", F.col("__span.first") + 1, F.col("__span.last") - F.col("__span.first") + 1), "\n")
-    return done.select(*df.columns, "chunk", F.col("__span.first").alias("first_line"), F.col("__span.last").alias("last_line"), F.col("__span.tokens").alias("chunk_tokens"), body.alias("chunk_text"))
+    body = lambda s: F.array_join(F.slice("__lines", s["first"] + 1, s["last"] - s["first"] + 1), "\n")
+    chunks = F.transform("__spans", lambda s: F.struct(s["first"].alias("first_line"), s["last"].alias("last_line"), s["tokens"].alias("chunk_tokens"), body(s).alias("chunk_text")))
+    return done.select(*rest, F.posexplode(chunks).alias("chunk", "__chunk")).select(*rest, "chunk", "__chunk.*")
 
 
 def character_cuts(text: Column, size: Column, look_back: int = 500) -> Column:
@@ -67,12 +71,13 @@ def character_cuts(text: Column, size: Column, look_back: int = 500) -> Column:
 
 
 def chunk_characters(df: DataFrame, text: str, size: int | Column) -> DataFrame:
-    """A row for each chunk of characters: chunk (from 0), start, end, chunk_text. The chunks joined are the text."""
+    """A row for each chunk of characters: the other columns and chunk (from 0), start, end, chunk_text. The chunks joined are the text."""
     size = F.lit(size) if isinstance(size, int) else size
-    done = df.withColumn("__ends", character_cuts(F.col(text), size)).select("*", F.posexplode("__ends").alias("chunk", "end"))
-    start = F.coalesce(F.get("__ends", F.col("chunk") - 1), F.lit(0))
-    done = done.withColumn("start", F.when(F.col("chunk") == 0, 0).otherwise(start))
-    return done.select(*df.columns, "chunk", "start", "end", F.expr(f"substring({text}, start + 1, end - start)").alias("chunk_text"))
+    rest = [c for c in df.columns if c != text]
+    done = df.withColumn("__ends", character_cuts(F.col(text), size))
+    start = lambda i: F.when(i == 0, 0).otherwise(F.get("__ends", i - 1))
+    chunks = F.transform("__ends", lambda e, i: F.struct(start(i).alias("start"), e.alias("end"), F.substring(F.col(text), start(i) + 1, e - start(i)).alias("chunk_text")))
+    return done.select(*rest, F.posexplode(chunks).alias("chunk", "__chunk")).select(*rest, "chunk", "__chunk.*")
 
 
 def gather(rows: DataFrame, key: list[str], position: str, value: str, separator: str = "\n") -> DataFrame:
