@@ -165,9 +165,10 @@ def word_lengths(spark: SparkSession, d: str) -> DataFrame:
 def token_labels(spark: SparkSession, d: str) -> DataFrame:
     """Labels of tokens (here five characters each) from a character mask, and the text rebuilt from the kept ones."""
     t = F.col("text")
-    own = documents(spark, d).select("doc_id", "text").where((F.length(t) >= 5) & (F.length(t) < 5000))
-    own = own.withColumn("mask", F.array_join(F.transform(F.sequence(F.lit(0), F.length(t) - 1), lambda i: F.when(i % 11 == 3, "0").otherwise("1")), ""))
-    starts = F.transform(F.sequence(F.lit(0), F.floor(F.length(t) / 5).cast("int") - 1), lambda i: i * 5)
+    none, count = F.array().cast("array<int>"), F.floor(F.length(t) / 5).cast("int")
+    own = documents(spark, d).select("doc_id", "text")
+    own = own.withColumn("mask", F.array_join(F.transform(F.when(F.length(t) > 0, F.sequence(F.lit(0), F.length(t) - 1)).otherwise(none), lambda i: F.when(i % 11 == 3, "0").otherwise("1")), ""))
+    starts = F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(none), lambda i: i * 5)
     own = own.withColumn("tokens", F.transform(starts, lambda s: F.struct(s.alias("s"), (s + 5).alias("e"), (s % 3).cast("double").alias("score"))))
     labels = pairs.token_labels(F.col("tokens"), F.col("mask"), F.length(t))
     return own.select("doc_id", F.aggregate(labels, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("kept"), F.size("tokens").cast("bigint").alias("tokens"), F.md5(pairs.kept_tokens(t, F.col("tokens"))).alias("rebuilt"))
