@@ -193,10 +193,11 @@ def pass_at_k(n: Column, correct: Column, k: int) -> Column:
 
 
 def many_of_k(n: Column, correct: Column, k: int, share: float) -> Column:
-    """Chance that at least this share of k drawn samples is correct (hypergeometric tail; n up to 20)."""
-    choose = lambda a, b: F.when((b < 0) | (b > a), F.lit(0.0)).otherwise(F.factorial(a.cast("int")) / (F.factorial(b.cast("int")) * F.factorial((a - b).cast("int"))))
+    """Chance that at least this share of k drawn samples is correct (hypergeometric tail, as products of ratios; n from k on)."""
     least = max(1, math.ceil(share * k))
-    terms = F.transform(F.sequence(F.lit(least), F.lit(k)), lambda i: choose(correct, i) * choose(n - correct, F.lit(k) - i) / choose(n, F.lit(k)))
+    # i correct ones: k over i, times the chance that the first i draws are correct and the others wrong
+    ratio = lambda i, j: F.when(j < i, (correct - j) / (n - j) * (k - j) / (j + 1)).otherwise((n - correct - (j - i)) / (n - j))
+    terms = F.transform(F.sequence(F.lit(least), F.lit(k)), lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(1.0), lambda p, j: p * ratio(i, j)))
     return F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
 
 

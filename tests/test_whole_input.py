@@ -1,7 +1,12 @@
 """Queries over whole inputs, against brute force on small tables."""
 
 import hashlib
+import math
 
+import pytest
+from pyspark.sql import functions as F
+
+from siltmill.operators import scores
 from siltmill.plans.all_queries import QUERIES
 
 
@@ -24,3 +29,21 @@ def test_token_labels_of_every_length(spark, tmp_path):
         kept = sum(all(x % 11 != 3 for x in range(s, s + 5)) for s in starts)
         assert got.pop(i) == (kept, len(starts), md5("".join(text[s : s + 5] for s in starts if s % 3)))
     assert not got
+
+
+def test_pass_at_k_counts_every_event(spark, tmp_path):
+    sizes = {1: (2, 1), 2: (3, 1), 3: (25, 24), 4: (99, 3), 5: (400, 150), 6: (30, 0)}
+    rows = [(u, "purchase" if i < c else "view") for u, (n, c) in sizes.items() for i in range(n)]
+    d = written(spark, tmp_path, "events", rows, "user_id bigint, event_type string")
+    got = {r["user_id"]: (r["pass_3"], r["half_of_3"]) for r in QUERIES["pass_at_k"](spark, d).collect()}
+    assert sorted(got) == [2, 3, 4, 5, 6]
+    for u, found in got.items():
+        n, c = sizes[u]
+        chance = lambda i: math.comb(c, i) * math.comb(n - c, 3 - i) / math.comb(n, 3)
+        assert found == pytest.approx((1 - chance(0), chance(2) + chance(3)), abs=1e-6)
+
+
+def test_many_of_k_of_large_counts(spark):
+    df = spark.createDataFrame([(n, c) for n in (10, 171, 5_000) for c in (0, 2, 7, n // 2, n)], "n bigint, c bigint")
+    for n, c, tail in df.select("n", "c", scores.many_of_k(F.col("n"), F.col("c"), 10, 0.5)).collect():
+        assert tail == pytest.approx(sum(math.comb(c, i) * math.comb(n - c, 10 - i) for i in range(5, 11)) / math.comb(n, 10), abs=1e-9)
