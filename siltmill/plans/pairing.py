@@ -180,7 +180,7 @@ def token_labels(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, md5(array_to_string(ids, ',')) AS ids, CAST(len(list_filter(labels, lambda x: x <> -100)) AS BIGINT) AS supervised, md5(array_to_string(list_concat(ids, list_transform(range(48 - len(ids)), lambda i: 0)), ',')) AS padded FROM l"""
 )
 def causal_labels(spark: SparkSession, d: str) -> DataFrame:
-    own = word_lengths(spark, d).select("doc_id", F.slice("ids", 1, 10).alias("prompt"), F.slice("ids", 11, 50).alias("target"))
+    own = word_lengths(spark, d).select("doc_id", F.slice("ids", 1, 10).alias("prompt"), F.slice("ids", F.lit(11), F.size("ids")).alias("target"))
     ids, labels = pairs.causal_example(F.col("prompt"), F.col("target"), 40)
     text = lambda x: F.md5(F.array_join(x.cast("array<string>"), ","))
     return own.select("doc_id", text(ids).alias("ids"), F.size(F.filter(labels, lambda x: x != pairs.IGNORED)).cast("bigint").alias("supervised"), text(pairs.padded(ids, F.lit(48), 0)).alias("padded"))

@@ -47,3 +47,15 @@ def test_many_of_k_of_large_counts(spark):
     df = spark.createDataFrame([(n, c) for n in (10, 171, 5_000) for c in (0, 2, 7, n // 2, n)], "n bigint, c bigint")
     for n, c, tail in df.select("n", "c", scores.many_of_k(F.col("n"), F.col("c"), 10, 0.5)).collect():
         assert tail == pytest.approx(sum(math.comb(c, i) * math.comb(n - c, 10 - i) for i in range(5, 11)) / math.comb(n, 10), abs=1e-9)
+
+
+def test_causal_labels_keep_the_end(spark, tmp_path):
+    texts = [None, "", "a bb ccc", " ".join("x" * (1 + i % 7) for i in range(12)), " ".join("x" * (1 + i % 9) for i in range(45)), " ".join("x" * (1 + i * i % 31) for i in range(3_000))]
+    d = written(spark, tmp_path, "documents", [(i, "s", t) for i, t in enumerate(texts)], "doc_id bigint, source string, text string")
+    got = {r["doc_id"]: (r["ids"], r["supervised"], r["padded"]) for r in QUERIES["causal_labels"](spark, d).collect()}
+    for i, text in enumerate(texts):
+        ids = [len(w) for w in (text or "").split()]
+        last = ids[-40:]
+        supervised = max(min(len(ids) - 10, 40), 0)
+        assert got.pop(i) == (md5(",".join(map(str, last))), supervised, md5(",".join(map(str, last + [0] * (48 - len(last))))))
+    assert not got
