@@ -248,7 +248,6 @@ def load_balance(spark: SparkSession, d: str) -> DataFrame:
 )
 def pack_batch(spark: SparkSession, d: str) -> DataFrame:
     """Examples of a batch in one row, with separators."""
-    own = word_lengths(spark, d).select("source", "doc_id", F.slice("ids", 1, 12).alias("ids"))
-    batches = own.groupBy("source", F.floor(F.col("doc_id") / 8).alias("grp")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "ids"))).alias("x"))
+    batches = word_lengths(spark, d).groupBy("source", F.floor(F.col("doc_id") / 8).alias("grp")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "ids"))).alias("x"))
     packed = packing.packed_row(F.transform("x", lambda e: F.struct(e["ids"].alias("ids"), e["ids"].alias("labels"))), 99, 60)
     return batches.select("source", "grp", packed.alias("p")).select("source", "grp", F.md5(F.array_join(F.col("p.ids").cast("array<string>"), ",")).alias("ids"), F.size("p.ids").cast("bigint").alias("size"))

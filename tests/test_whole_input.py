@@ -59,3 +59,15 @@ def test_causal_labels_keep_the_end(spark, tmp_path):
         supervised = max(min(len(ids) - 10, 40), 0)
         assert got.pop(i) == (md5(",".join(map(str, last))), supervised, md5(",".join(map(str, last + [0] * (48 - len(last))))))
     assert not got
+
+
+def test_pack_batch_takes_whole_documents(spark, tmp_path):
+    texts = [" ".join("x" * (1 + (i + j) % 9) for j in range(n)) for i, n in enumerate((20, 0, 13, 40, 5, 1, 2, 3, 12, 14, 30))]
+    d = written(spark, tmp_path, "documents", [(i, "s", t) for i, t in enumerate(texts)], "doc_id bigint, source string, text string")
+    got = {r["grp"]: (r["ids"], r["size"]) for r in QUERIES["pack_batch"](spark, d).collect()}
+    for grp in (0, 1):
+        ids = []
+        for i, text in enumerate(texts[grp * 8 : grp * 8 + 8]):
+            ids += [99] * (i > 0) + [len(w) for w in text.split()]
+        assert got.pop(grp) == (md5(",".join(map(str, ids[:60]))), min(len(ids), 60))
+    assert not got
