@@ -3,12 +3,15 @@
 Every window of a few words, of the texts and of the items, is embedded by a random walk (CGK): the walk reads the
 window word by word and at each step either stays on the word or goes on, as a hash of step and word says. Windows at a
 small edit distance get strings at a small Hamming distance, so a key made of a few sampled positions of the string is
-equal for most of them; several walks with other samples raise the share. Item windows are kept by key, text windows
-look their keys up, and each candidate (text, item, diagonal) is verified exactly on the words.
+equal for most of them; several walks with other samples raise the share. Two of the samples are of the walk's first half
+alone, one of them of a walk from the window's end backwards: a single edit leaves one of these as it was, so short
+windows with an edit are found too. Item windows are kept by key, text windows look their keys up, and each candidate
+(text, item, diagonal) is verified exactly on the words, over edits by an alignment.
 
-Words are runs of letters and digits in lower case; tags and entities are removed first. Sentences that stand in the
-queries of several different items are wording and do not count. Items are a bounded table (checked, at most
-`MAX_ITEMS` in a block; more are taken block by block against all texts); they and their keys go to the workers.
+Words are runs of letters and digits in lower case; entities are decoded and tags removed first, those of blocks and
+breaks for a blank. Sentences that stand in the queries of several different items are wording and do not count. Items
+are a bounded table (at most MOST_ITEMS, checked), taken in blocks of `MAX_ITEMS` or `MAX_WORDS` against all texts; they
+and their keys go to the workers.
 
 Results: null and blank texts hold nothing. Items with equal texts are found each. A query without own words, and
 choices of fewer than eight words, cannot leak. A text that holds an item several times gives one row.
@@ -28,12 +31,14 @@ from pyspark.sql import DataFrame
 
 from .text_batch import TextBlock, blocks
 
-#: Items of one block, and most words in all of them.
-MAX_ITEMS, MAX_WORDS = 20_000, 2_000_000
+#: Sequences of one block, and most words in all of them; most items of a call.
+MAX_ITEMS, MAX_WORDS, MOST_ITEMS = 20_000, 2_000_000, 1_000_000
 #: Words of a window; shorter for items of which half is less.
 WINDOW = 8
-#: Walks, positions sampled of each, and the steps they are sampled from.
-WALKS, SAMPLED, STEPS = 4, 8, 14
+#: Walks sampled over their whole length, positions sampled of each, and the steps they are sampled from.
+WALKS, SAMPLED, STEPS = 3, 8, 14
+#: Diagonals no farther from the next than this belong to one passage.
+NEAR = 12
 #: A sentence in the queries of more items than this (repeated items count once) is wording.
 SHARED_BY = 3
 #: Least words of a choice that counts.
@@ -41,7 +46,9 @@ CHOICE_WORDS = 8
 #: Least share of a query's words in one passage.
 QUERY_SHARE = 0.5
 
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+_TAG = re.compile(r"</?([A-Za-z][\w:-]*)(?:[\s/][^<>]*)?>")
+#: Tags that stand inside words and lines; the others end a word.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup tt u var".split())
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -49,7 +56,7 @@ _WORD = re.compile(r"[^\W_]+")
 def without_markup(text: str) -> str:
     """The text without tags, entities and the marks of light markup inside words."""
     if "<" in text:
-        text = _TAG.sub("", text)
+        text = _TAG.sub(lambda m: "" if m[1].lower() in INLINE else " ", text)
     if "&" in text:
         text = html.unescape(text)
     return text
@@ -99,21 +106,33 @@ def _mixed(hashes: np.ndarray, walk: int) -> np.ndarray:
     return (x >> np.uint64(40)).astype(np.uint32)
 
 
-def window_keys(hashes: np.ndarray, starts: np.ndarray, size: int, walk: int) -> np.ndarray:
-    """Key of the window of `size` words from each start: the sampled positions of its embedding."""
+def samples(size: int) -> list[tuple[int, bool, list[int]]]:
+    """walk, direction and steps sampled of each key of windows of this size."""
     # A window never ends within the walk if it has as many words as half the steps; otherwise the end is a word of its own.
     steps = min(STEPS, 2 * size)
-    sampled = np.random.default_rng(100 + walk).permutation(steps)[:SAMPLED]
+    whole = [(w, False, sorted(np.random.default_rng(100 + w).permutation(steps)[:SAMPLED].tolist())) for w in range(WALKS)]
+    # the first steps read about half the window
+    half = list(range(max(1, min(size, STEPS // 2))))
+    return [*whole, (WALKS, False, half), (WALKS + 1, True, half)]
+
+
+def window_keys(hashes: np.ndarray, starts: np.ndarray, size: int, walk: int, backward: bool, sampled: list[int]) -> np.ndarray:
+    """Key of the window of `size` words from each start: the sampled positions of its embedding."""
     bits = _mixed(hashes, walk)
-    at = starts.astype(np.int32)
-    stop = at + np.int32(size)
+    first = starts.astype(np.int32)
+    at, gone = (first + np.int32(size - 1), np.int32(-1)) if backward else (first, np.int32(1))
+    low, high = first - np.int32(1), first + np.int32(size)
     key = np.full(len(at), 0x51ED270B * (size + 1), np.uint64)
-    for step in range(int(sampled.max()) + 1):
-        if step in sampled:
-            key ^= np.where(at < stop, hashes[np.minimum(at, len(hashes) - 1)], np.uint64(1))
+    wanted = set(sampled)
+    for step in range(max(sampled) + 1):
+        inside = (at > low) & (at < high)
+        here = np.clip(at, 0, len(hashes) - 1)
+        if step in wanted:
+            key ^= np.where(inside, hashes[here], np.uint64(1))
             key *= np.uint64(0x9DDFEA08EB382D69)
             key ^= key >> np.uint64(31)
-        at = np.minimum(at + ((bits[np.minimum(at, len(bits) - 1)] >> np.uint32(step)) & np.uint32(1)).astype(np.int32), stop)
+        on = ((bits[here] >> np.uint32(step)) & np.uint32(1)).astype(np.int32)
+        at = np.where(inside, at + gone * on, at)
     return key
 
 
@@ -134,8 +153,8 @@ class ItemIndex:
             where = np.array(windows, np.int64)
             starts = first[where[:, 0]] + where[:, 1]
             tables = []
-            for walk in range(WALKS):
-                keys = window_keys(block.word_hash, starts, size, walk)
+            for sample in samples(size):
+                keys = window_keys(block.word_hash, starts, size, *sample)
                 order = np.argsort(keys, kind="stable")
                 seen = np.zeros(1 << 22, bool)
                 seen[keys >> np.uint64(42)] = True
@@ -151,8 +170,8 @@ class ItemIndex:
             if n <= 0:
                 continue
             starts = np.flatnonzero(of[:n] == of[size - 1 :])
-            for walk, (keys, where, seen) in enumerate(tables):
-                own = window_keys(hashes, starts, size, walk)
+            for sample, (keys, where, seen) in zip(samples(size), tables):
+                own = window_keys(hashes, starts, size, *sample)
                 maybe = np.flatnonzero(seen[own >> np.uint64(42)])
                 low = np.searchsorted(keys, own[maybe], side="left")
                 count = np.searchsorted(keys, own[maybe], side="right") - low
@@ -193,14 +212,28 @@ class ItemIndex:
                 if best >= least:
                     break
             # Words left out or put in move a passage to another diagonal: its parts then lie on near ones.
-            if sequence.is_query and best < least and len(runs) > 1 and sum(sorted(runs)[-2:]) >= least and max(places) - min(places) <= 12:
-                a = max(low, min(places) - 4)
-                best = edited_passage(words, hashes[a : min(high, max(places) + n + 4)])
+            if sequence.is_query and best < least:
+                for near, total in near_diagonals(places, runs):
+                    if total >= least:
+                        a, b = max(low, near[0] - 4), min(high, near[-1] + n + 4)
+                        best = max(best, edited_passage(words, hashes[a:b]))
             if best >= least:
                 found.add((text, sequence.item))
         return found
 
 
+def near_diagonals(places: list[int], runs: list[int]) -> list[tuple[list[int], int]]:
+    """Groups of two or more diagonals that lie near each other, and the sum of their longest runs. A text may hold a passage in several places."""
+    order = sorted(range(len(places)), key=places.__getitem__)
+    groups: list[list[int]] = []
+    for i in order:
+        if groups and places[i] - places[groups[-1][-1]] <= NEAR:
+            groups[-1].append(i)
+        else:
+            groups.append([i])
+    return [([places[i] for i in g], sum(runs[i] for i in g)) for g in groups if len(g) > 1]
+
+
 def longest_passage(equal: np.ndarray) -> int:
     """Longest run of equal words in which single ones may differ (none next to each other, none at the ends, one in seven at most)."""
     at = np.flatnonzero(equal)
@@ -243,9 +276,6 @@ def leaked_items(texts: DataFrame, items: DataFrame, key: str, text: str, item_k
     """key and item_id of every text that holds an item. Texts are read once for each block of items and not shuffled."""
     spark = texts.sparkSession
     kind = texts.schema[key].dataType.simpleString()
-    out = None
-    rows = []
-
     def search(part: list) -> DataFrame:
         index = spark.sparkContext.broadcast(ItemIndex(part))
 
@@ -261,18 +291,19 @@ def leaked_items(texts: DataFrame, items: DataFrame, key: str, text: str, item_k
         return chosen.mapInArrow(run, f"key {kind}, item_id string").withColumnRenamed("key", key)
 
     # Wording is what several items share, so all items' queries are seen together: one bounded table.
-    for r in items.select(items[item_key].alias("id"), "query", "choices").toLocalIterator():
-        rows.append((str(r["id"]), r["query"], r["choices"]))
-    sequences = item_sequences(rows)
-    part: list[Sequence_] = []
+    rows = [(str(r["id"]), r["query"], r["choices"]) for r in items.select(items[item_key].alias("id"), "query", "choices").limit(MOST_ITEMS + 1).toLocalIterator()]
+    if len(rows) > MOST_ITEMS:
+        raise ValueError(f"more than {MOST_ITEMS:,} items: search them in parts")
+    parts: list[list[Sequence_]] = [[]]
     size = 0
-    for s in [*sequences, None]:
-        if s is None or len(part) >= MAX_ITEMS or size > MAX_WORDS:
-            if part or out is None:
-                found = search(part)
-                out = found if out is None else out.unionByName(found)
-            part, size = [], 0
-        if s is not None:
-            part.append(s)
-            size += len(s.words)
-    return out if len(sequences) <= MAX_ITEMS else out.distinct()
+    for s in item_sequences(rows):
+        if len(parts[-1]) >= MAX_ITEMS or parts[-1] and size + len(s.words) > MAX_WORDS:
+            parts.append([])
+            size = 0
+        parts[-1].append(s)
+        size += len(s.words)
+    out = search(parts[0])
+    for part in parts[1:]:
+        out = out.unionByName(search(part))
+    # the sequences of one item may lie in two blocks; within one, a text gives an item once
+    return out.distinct()

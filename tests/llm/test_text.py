@@ -221,6 +221,63 @@ def test_leak_table(spark):
     assert leakage.leaked_items(rows, items.limit(0), "chunk_id", "chunk_body").count() == 0
 
 
+@pytest.mark.parametrize("words,edits", [(6, 0), (7, 0), (7, 1), (8, 1), (9, 1), (10, 1), (12, 1), (14, 2), (16, 2), (21, 3)])
+def test_recall_of_short_passages(words, edits):
+    """Half of a query with words replaced inside it, as many as count: at least 0.93 are found at every length."""
+    rng = random.Random(words * 10 + edits)
+    pool = [f"w{i}x" for i in range(3000)]
+    some = lambda n: [rng.choice(pool) for _ in range(n)]
+    items, texts = [], []
+    for i in range(300):
+        query = some(2 * words)
+        at = rng.randint(0, words)
+        part, places = query[at : at + words], []
+        while len(places) < edits:
+            x = rng.randint(1, words - 2)
+            if all(abs(x - y) > 1 for y in places):
+                places.append(x)
+                part[x] = f"other{i}"
+        items.append(leakage.Sequence_(f"i{i}", True, query))
+        texts.append(" ".join(some(15) + part + some(15)))
+    found = leakage.ItemIndex(items).verified(TextBlock(texts))
+    assert sum((i, f"i{i}") in found for i in range(300)) >= 0.93 * 300
+
+
+def test_passages_that_stand_twice():
+    """A passage with a word left out is found, once or several times, near or far."""
+    query = [f"q{i}" for i in range(24)]
+    part = query[:8] + query[9:16]
+    fill = [f"f{i}" for i in range(50)]
+    index = leakage.ItemIndex([leakage.Sequence_("a", True, query)])
+    texts = [part, part + fill + part, fill[:3] + part + fill[:3] + part, fill + part + fill * 9 + part]
+    assert index.verified(TextBlock([" ".join(t) for t in texts])) == {(i, "a") for i in range(len(texts))}
+    assert leakage.near_diagonals([5, 100, 6, 300, 103], [3, 4, 2, 9, 1]) == [([5, 6], 5), ([100, 103], 5)]
+
+
+@pytest.mark.parametrize("most_items,most_words", [(1, 10**6), (10**6, 12), (3, 30)])
+def test_blocks_of_items_give_each_pair_once(spark, monkeypatch, most_items, most_words):
+    monkeypatch.setattr(leakage, "MAX_ITEMS", most_items)
+    monkeypatch.setattr(leakage, "MAX_WORDS", most_words)
+    words = [" ".join(f"{c}{i}" for i in range(10)) for c in "abc"]
+    items = spark.createDataFrame([(c, w, [w, w[::-1]]) for c, w in zip("abc", words)] + [("none", None, None)], "id string, query string, choices array<string>")
+    rows = spark.createDataFrame([(1, words[0] + " and " + words[1]), (2, words[2]), (3, "nothing here"), (4, None)], "chunk_id bigint, chunk_body string")
+    assert sorted(map(tuple, leakage.leaked_items(rows, items, "chunk_id", "chunk_body").collect())) == [(1, "a"), (1, "b"), (2, "c")]
+
+
+def test_too_many_items_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "MOST_ITEMS", 2)
+    items = spark.createDataFrame([(str(i), "q", None) for i in range(3)], "id string, query string, choices array<string>")
+    with pytest.raises(ValueError, match="items"):
+        leakage.leaked_items(spark.createDataFrame([(1, "x")], "k bigint, t string"), items, "k", "t")
+
+
+def test_markup():
+    words = leakage.item_words
+    assert words("foo<br>bar</p><p>baz") == ["foo", "bar", "baz"]
+    assert words('<td class="' + "x" * 900 + '">a</td><td>b</td>') == ["a", "b"]
+    assert words("wo<b>rd</b> x<sup>2</sup> a&amp;b 3 < 4 > 2") == ["word", "x2", "a", "b", "3", "4", "2"]
+
+
 def test_edited_passage():
     words = np.arange(1, 21, dtype=np.uint64)
     text = np.concatenate((np.array([90, 91]), words[:8], words[9:20], np.array([92]))).astype(np.uint64)
