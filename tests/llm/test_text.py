@@ -158,6 +158,45 @@ def test_pieces():
         assert all(y[0] == x[1] - shared for x, y in zip(found, found[1:]))
 
 
+def cheapest_cost(text, limit, overlap, kinds):
+    """Every boundary from every boundary, without any bound."""
+    n = len(text)
+    pieces = -(-(n - overlap) // (limit - overlap))
+    even = (n - overlap) / pieces + overlap
+    cost_at = {x: splitting.CUT_COSTS[k] for k, positions in enumerate(kinds) for x in positions}
+    best, end = {0: 0.0}, float("inf")
+    todo = [0]
+    while todo:
+        at = min(todo)
+        todo.remove(at)
+        start = at - overlap if at else 0
+        if start + limit >= n:
+            end = min(end, best[at] + splitting.IMBALANCE * ((n - start - even) / limit) ** 2)
+            continue
+        found = [x for x in cost_at if at < x <= start + limit and cost_at[x] < 5]
+        for to in found or [splitting._whole_character(text, start + limit, at + 1)]:
+            total = best[at] + cost_at.get(to, splitting.CUT_COSTS[5]) + splitting.IMBALANCE * ((to - start - even) / limit) ** 2
+            if to not in best:
+                todo.append(to)
+            best[to] = min(best.get(to, float("inf")), total)
+    return end
+
+
+def test_pieces_are_the_cheapest():
+    rng = random.Random(11)
+    for _ in range(250):
+        text = "".join(rng.choice(["word ", "a, ", "some words. ", "End. ", "\n", "\n\n", "longer, words ", "x" * 25]) for _ in range(rng.randint(10, 90)))
+        limit = rng.choice([20, 40, 75, 120])
+        overlap = rng.choice([0, 0, 3, limit // 4])
+        if len(text) <= limit:
+            continue
+        kinds = splitting.boundaries(text)
+        bound, _ = splitting._search(text, kinds, limit, overlap, float("inf"), narrow=True)
+        cost, ends = splitting._search(text, kinds, limit, overlap, bound + 1e-9, narrow=False)
+        assert cost == pytest.approx(cheapest_cost(text, limit, overlap, kinds))
+        assert cost <= bound + 1e-9 and [b for _, b in splitting.cut_points(text, limit, overlap)] == ends
+
+
 def test_pieces_end_at_boundaries():
     text = "One two three. Four five six.\n\nSeven eight nine ten. Eleven twelve.\nThirteen fourteen."
     ends = [text[:b] for _, b in splitting.pieces_of(text, 40, 0)][:-1]
@@ -168,6 +207,9 @@ def test_split_table(spark):
     df = spark.createDataFrame([(1, "abc def ghi", 5, 0, "k"), (2, None, 5, 0, "k"), (3, "abcdef", 0, 9, "k"), (4, "abcdef", 5, None, "k"), (4, "abcdef", 5, None, "k")], "chunk_id bigint, body string, size int, ov int, key string")
     got = splitting.split_texts(df, "chunk_id", "body", "size", "ov").collect()
     assert "".join(r["piece_text"] for r in sorted((r for r in got if r["chunk_id"] == 1), key=lambda r: r["piece"])) == "abc def ghi"
+    assert all(r["overlap_kept"] for r in got)
+    wide = splitting.split_texts(df.withColumn("ov", F.lit(5)), "chunk_id", "body", "size", "ov").where("pieces > 1").collect()
+    assert wide and not any(r["overlap_kept"] for r in wide)
     assert sorted(r["chunk_id"] for r in splitting.must_split(df, "chunk_id", "body", "size", "ov").collect()) == [1, 4, 4]
 
 
@@ -294,6 +336,9 @@ PROSE = "It took Ann 48 weeks to learn that the pulse could not be compared alon
         (PROSE + "\n* one thing\n* two things\n* three", "prose"), ("\n".join(f"* old thing {i}" for i in range(9)), "list"), ("old wages; rough prices; plain receipts; gentle clerks; cold fees; empty ledgers", "list"), ("a | 3 | 5%\nb | 4 | 7%\nc | 1 | 2%", "table"),
         ("=====\n" * 9, "junk"), ((PROSE[:74] + " ") * 6, "junk"), ("dJu8c6yerKisMJQd2um6qJpqcSydQHGjQqMv219yLz6P7qd5qkO2umiZENlqTjJmk4Qr9a4cD0yHfhCrA52", "junk"), ("", "empty"), (None, "empty"), (" \n\t ", "empty"),
         ("News | Shop | About us\nHome\nContact\nPress", "list"), ("Jedno przykładowe zdanie składające się z wielu zwykłych słów, które tworzą sensowną i dłuższą całość.", "prose"),
+        ("Wczoraj wieczorem znaleźliśmy w małej wiejskiej\nbibliotece starą mapę, ale nikt nie znał jej nazwy\nani miejsca, które pokazywała. Dopiero rano nauczycielka\nprzypomniała sobie opowieść swojego dziadka.", "prose"),
+        ("Eilen illalla löysimme kylän pienestä kirjastosta\nvanhan kartan, mutta kukaan ei tuntenut sen nimeä eikä\npaikkaa, jota se esitti. Vasta aamulla opettaja muisti\nisoisänsä kertomuksen siitä.", "prose"),
+        ("\n".join(["Ten steps along the river.", "A walk to the mill."] * 6), "junk"), ("\n\n".join(["We walked along the river before noon."] * 7), "junk"), ("buy now " * 9 + "today we went home and saw the rain over hills.", "junk"),
         ("昨日の夜、私たちは小さな村の図書館で古い地図を見つけました。誰もその名前を知りませんでした。", "prose"), ("Вчера вечером мы нашли в маленькой деревенской библиотеке старую карту, и никто не знал её имени.", "prose"),
     ],
 )
