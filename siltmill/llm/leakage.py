@@ -37,6 +37,10 @@ MAX_ITEMS, MAX_WORDS, MOST_ITEMS = 20_000, 2_000_000, 1_000_000
 WINDOW = 8
 #: Walks sampled over their whole length, positions sampled of each, and the steps they are sampled from.
 WALKS, SAMPLED, STEPS = 3, 8, 14
+#: Fewest words of a passage one of which may differ.
+EDITED = 7
+#: Passages of fewer words have too few windows to miss any.
+SHORT = 10
 #: Diagonals no farther from the next than this belong to one passage.
 NEAR = 12
 #: A sentence in the queries of more items than this (repeated items count once) is wording.
@@ -106,13 +110,15 @@ def _mixed(hashes: np.ndarray, walk: int) -> np.ndarray:
     return (x >> np.uint64(40)).astype(np.uint32)
 
 
-def samples(size: int) -> list[tuple[int, bool, list[int]]]:
-    """walk, direction and steps sampled of each key of windows of this size."""
+def samples(size: int, short: bool) -> list[tuple[int, bool, list[int]]]:
+    """walk, direction and steps sampled of each key of windows of this size; short: for passages with hardly more words than the window."""
     # A window never ends within the walk if it has as many words as half the steps; otherwise the end is a word of its own.
     steps = min(STEPS, 2 * size)
+    if size < EDITED:
+        return [(0, False, list(range(steps)))]  # too short for an edit, so all of the walk must be equal
     whole = [(w, False, sorted(np.random.default_rng(100 + w).permutation(steps)[:SAMPLED].tolist())) for w in range(WALKS)]
-    # the first steps read about half the window
-    half = list(range(max(1, min(size, STEPS // 2))))
+    # so many steps read about half the window, or more of it
+    half = list(range(size - 1 if short else size + 2))
     return [*whole, (WALKS, False, half), (WALKS + 1, True, half)]
 
 
@@ -144,33 +150,33 @@ class ItemIndex:
         block = TextBlock([" ".join(s.words) for s in sequences] or [""])
         first = np.searchsorted(block.word_text, np.arange(len(sequences) + 1))
         self.words = [block.word_hash[first[i] : first[i + 1]] for i in range(len(sequences))]
-        by_size: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        by_size: dict[tuple[int, bool], list[tuple[int, int]]] = defaultdict(list)
         for i, s in enumerate(sequences):
             size = min(WINDOW, s.least)
-            by_size[size] += [(i, j) for j in range(len(self.words[i]) - size + 1)]
+            by_size[size, s.least < SHORT] += [(i, j) for j in range(len(self.words[i]) - size + 1)]
         self.sizes = {}
-        for size, windows in by_size.items():
+        for (size, short), windows in by_size.items():
             where = np.array(windows, np.int64)
             starts = first[where[:, 0]] + where[:, 1]
             tables = []
-            for sample in samples(size):
+            for sample in samples(size, short):
                 keys = window_keys(block.word_hash, starts, size, *sample)
                 order = np.argsort(keys, kind="stable")
                 seen = np.zeros(1 << 22, bool)
                 seen[keys >> np.uint64(42)] = True
                 tables.append((keys[order], where[order], seen))
-            self.sizes[size] = tables
+            self.sizes[size, short] = tables
 
     def candidates(self, block: TextBlock) -> np.ndarray:
         """Rows (text, sequence, place of the sequence's first word among the block's words) with an equal key."""
         hashes, of = block.word_hash, block.word_text
         out = [np.zeros((0, 3), np.int64)]
-        for size, tables in self.sizes.items():
+        for (size, short), tables in self.sizes.items():
             n = len(hashes) - size + 1
             if n <= 0:
                 continue
             starts = np.flatnonzero(of[:n] == of[size - 1 :])
-            for sample, (keys, where, seen) in zip(samples(size), tables):
+            for sample, (keys, where, seen) in zip(samples(size, short), tables):
                 own = window_keys(hashes, starts, size, *sample)
                 maybe = np.flatnonzero(seen[own >> np.uint64(42)])
                 low = np.searchsorted(keys, own[maybe], side="left")
@@ -243,7 +249,7 @@ def longest_passage(equal: np.ndarray) -> int:
     begin = np.concatenate(([0], breaks + 1))
     end = np.concatenate((breaks, [len(at) - 1]))
     length = at[end] - at[begin] + 1
-    close = (end - begin + 1) * 7 >= length * 6
+    close = (end - begin + 1) * EDITED >= length * (EDITED - 1)
     return int(length[close].max()) if close.any() else 0
 
 
