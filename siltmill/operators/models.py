@@ -49,11 +49,17 @@ def generate(df: DataFrame, key: list[str], prompt_column: str, make: Callable[[
     return df.select(*key, prompt_column).mapInArrow(run, f"{kinds}, program string, error string")
 
 
-def rule_program(text: Column) -> Column:
-    """A deterministic program: a line goes where it stood in the text before, or is nothing but an address; double blanks become single."""
-    own = lines(text)
-    gone = F.filter(F.transform(own, lambda x, i: F.when((F.trim(x) != "") & (F.array_position(own, x) <= i) | x.rlike("^https?://[^ ]*$"), i).otherwise(-1)), lambda i: i >= 0)
-    calls = F.transform(gone, lambda i: F.concat(F.lit("remove_lines(line_start="), i.cast("string"), F.lit(", line_end="), i.cast("string"), F.lit(")")))
-    blanks = F.when(F.contains(text, F.lit("  ")), F.array(F.lit('normalize(source_str="  ", target_str=" ")'))).otherwise(F.array().cast("array<string>"))
-    program = F.array_join(F.concat(calls, blanks), "\n")
-    return F.when(program == "", "keep_all()").otherwise(program)
+def with_rule_program(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds a deterministic program: a line goes where it stood in the text before, or is nothing but an address; double blanks become single.
+
+    Lines are sorted with their numbers, so that equal ones lie side by side.
+    """
+    body, rows = F.col(text), "__rows"
+    done = df.withColumn(rows, F.sort_array(F.transform(lines(body), lambda x, i: F.struct(x.alias("line"), i.alias("at")))))
+    again = lambda x, i: (F.trim(x["line"]) != "") & (i > 0) & (F.get(F.col(rows), i - 1)["line"] == x["line"])
+    gone = F.filter(F.transform(rows, lambda x, i: F.when(again(x, i) | x["line"].rlike("^https?://[^ ]*$"), x["at"]).otherwise(-1)), lambda i: i >= 0)
+    done = done.withColumn("__at", F.sort_array(gone))
+    calls = F.transform("__at", lambda i: F.concat(F.lit("remove_lines(line_start="), i.cast("string"), F.lit(", line_end="), i.cast("string"), F.lit(")")))
+    blanks = F.when(F.contains(body, F.lit("  ")), F.array(F.lit('normalize(source_str="  ", target_str=" ")'))).otherwise(F.array().cast("array<string>"))
+    done = done.withColumn(name, F.array_join(F.concat(calls, blanks), "\n"))
+    return done.withColumn(name, F.when(F.col(name) == "", "keep_all()").otherwise(F.col(name))).drop(rows, "__at")

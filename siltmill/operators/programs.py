@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.text import filled, lines, word_count
 
 OPS = "array<struct<kind:string,first:bigint,last:bigint,source:string,target:string,errors:int>>"
-RANGES = "array<struct<first:bigint,last:bigint>>"
 
 
 def _integer(text: Column) -> Column:
@@ -63,40 +62,67 @@ def parse_program(program: Column) -> Column:
 
 def ranges_of(ops: Column) -> Column:
     """The removals, as a position and a range each."""
-    return F.filter(F.transform(ops, lambda o, i: F.struct(o["first"].alias("first"), i.alias("at"), o["last"].alias("last"), o["kind"].alias("kind"))), lambda x: x["kind"] == "remove")
+    return F.filter(F.transform(ops, lambda o, i: F.when(o["kind"] == "remove", F.struct(o["first"].alias("first"), i.alias("at"), o["last"].alias("last")))), lambda x: x.isNotNull())
 
 
-def merged_ranges(ranges: Column) -> Column:
-    """Ranges by start, joined where one begins no later than just behind the end of the one before."""
-    ordered = F.array_sort(ranges)
+#: Ranges that are folded at a time. Arrays are copied when they grow, so long ones grow in pieces.
+PIECE = 256
 
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["first"].alias("first"), F.greatest(last["last"], x["last"]).alias("last"))))
-        added = F.concat(done, F.array(F.struct(x["first"].alias("first"), x["last"].alias("last"))))
-        return F.when(F.size(done) == 0, added).when(x["first"] <= last["last"] + 1, joined).otherwise(added)
 
-    return F.aggregate(ordered, F.array().cast(RANGES), add)
+def with_merged_ranges(df: DataFrame, ranges: str, name: str) -> DataFrame:
+    """Adds the ranges by start, joined where one begins no later than just behind the end of those before.
+
+    Of sorted ranges one opens a merged range if it begins behind the highest end so far. That end is carried into pieces of PIECE ranges from the
+    pieces' own highest ends, so the work grows as the number of ranges and not as its square.
+    """
+    s, pieces, tops = "__sorted", "__pieces", "__tops"
+    least = F.lit(-(1 << 62)).cast("bigint")
+    count = F.ceil(F.size(s) / PIECE).cast("int")
+    done = df.withColumn(s, F.sort_array(F.col(ranges)))
+    done = done.withColumn(pieces, F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.slice(F.col(s), i * PIECE + 1, PIECE))).otherwise(F.array().cast("array<array<struct<first:bigint,at:int,last:bigint>>>")))
+    done = done.withColumn(tops, F.transform(pieces, lambda p: F.array_max(F.transform(p, lambda x: x["last"]))))
+
+    def opened(piece: Column, carried: Column) -> Column:
+        def add(state: Column, x: Column) -> Column:
+            new = F.array(F.struct(x["first"].alias("first"), state["top"].alias("before")))
+            return F.struct(F.when(x["first"] > state["top"] + 1, F.concat(state["opened"], new)).otherwise(state["opened"]).alias("opened"), F.greatest(state["top"], x["last"]).alias("top"))
+
+        start = F.struct(F.array().cast("array<struct<first:bigint,before:bigint>>").alias("opened"), F.coalesce(carried, least).alias("top"))
+        return F.aggregate(piece, start, add, lambda state: state["opened"])
+
+    carried = F.transform(F.col(tops), lambda _, i: F.array_max(F.slice(F.col(tops), F.lit(1), i)))
+    done = done.withColumn("__carried", carried).withColumn("__opened", F.flatten(F.zip_with(pieces, "__carried", opened)))
+    last = lambda i: F.coalesce(F.get(F.col("__opened"), i + 1)["before"], F.array_max(F.col(tops)))
+    merged = F.transform("__opened", lambda x, i: F.struct(x["first"].alias("first"), last(i).alias("last")))
+    return done.withColumn(name, merged).drop(s, pieces, tops, "__carried", "__opened")
 
 
 def execute(df: DataFrame, text: str, program: str) -> DataFrame:
     """Adds edited, errors, removed_lines and merged (the ranges) to every row.
 
-    The steps are separate projections, so that Spark evaluates the parsed program once for each row.
+    The steps are separate projections, so that Spark evaluates the parsed program once for each row. Lines are taken in stretches between the merged
+    ranges, so the work grows as lines and ranges together.
     """
     done = df.withColumn("__text", filled(F.col(text))).withColumn("__ops", parse_program(F.col(program)))
     replaced = F.aggregate(
         F.filter("__ops", lambda o: o["kind"].isin("delete", "replace") & (o["source"] != "") & ~((o["kind"] == "replace") & (o["source"] == " "))), F.col("__text"), lambda t, o: F.replace(t, o["source"], o["target"])
     )
     done = done.withColumn("__lines", lines(replaced)).withColumn("__ranges", ranges_of(F.col("__ops")))
-    done = done.withColumn("merged", merged_ranges(F.col("__ranges"))).withColumn("__all", F.exists("__ops", lambda o: o["kind"] == "all"))
+    done = done.withColumn("__all", F.exists("__ops", lambda o: o["kind"] == "all"))
     count = F.size("__lines")
-    kept = F.when(F.col("__all"), F.array().cast("array<string>")).otherwise(F.filter("__lines", lambda line, i: ~F.exists("__ranges", lambda r: (i >= r["first"]) & (i <= r["last"]))))
+    done = with_merged_ranges(done, "__ranges", "merged")
+    # ranges that end before they begin take part in the merging but remove nothing, nor does what lies beyond the text
+    done = done.withColumn("__real", F.filter("__ranges", lambda r: (r["last"] >= r["first"]) & (r["last"] >= 0) & (r["first"] < count)))
+    done = with_merged_ranges(done, "__real", "__gone")
+    end = lambda i: F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(F.col("__gone"), i - 1)["last"] + 1)
+    upto = lambda i: F.coalesce(F.get(F.col("__gone"), i)["first"], count.cast("bigint"))
+    stretch = lambda i: F.slice(F.col("__lines"), (F.least(end(i), count) + 1).cast("int"), F.greatest(upto(i) - end(i), F.lit(0)).cast("int"))
+    kept = F.when(F.col("__all"), F.array().cast("array<string>")).when(F.size("__gone") == 0, F.col("__lines")).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.size("__gone")), stretch)))
     beyond = F.size(F.filter("merged", lambda r: (r["first"] >= count) | (r["last"] >= count)))
     own = F.aggregate("__ops", F.lit(0), lambda n, o: n + o["errors"])
     done = done.withColumn("__kept", kept).withColumn("errors", (own + beyond).cast("bigint"))
     done = done.withColumn("edited", F.array_join("__kept", "\n")).withColumn("removed_lines", (count - F.size("__kept")).cast("bigint"))
-    return done.drop("__text", "__ops", "__lines", "__ranges", "__all", "__kept")
+    return done.drop("__text", "__ops", "__lines", "__ranges", "__real", "__gone", "__all", "__kept")
 
 
 def accept(df: DataFrame, text: str, least_share: float = 0.0, drop_share: float = 0.95, most_errors: int = 2, least_words: int = 10) -> DataFrame:

@@ -78,7 +78,7 @@ def recall_at(scores: Column, gold_index: Column, k: int) -> Column:
 
 def truth_scores(logprobs: Column, single: int, true_ones: Column) -> tuple[Column, Column]:
     """Whether the first of the single-answer choices is best, and the share of the true ones among the others' probabilities."""
-    rest = F.transform(F.slice(logprobs, single + 1, 1_000), lambda x: F.exp(x))
+    rest = F.transform(F.slice(logprobs, F.lit(single + 1), F.size(logprobs)), lambda x: F.exp(x))
     add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
     return (best_choice(F.slice(logprobs, 1, single)) == 0).cast("int"), F.try_divide(add(F.slice(rest, 1, true_ones)), add(rest))
 
@@ -270,6 +270,19 @@ def bootstrap_error(scores: DataFrame, key: list[str], score: str, turns: int, s
     return means.agg(F.stddev_samp("mean").alias("stderr"), F.count("*").alias("turns"))
 
 
+def pivoted(means: DataFrame, row: str, column: str, value: str, digits: int = 6) -> DataFrame:
+    """A row for each of `row`, a column for each name in `column` (a short list of tasks), and average: the mean of the row's values."""
+    names = sorted(r[0] for r in means.select(column).distinct().collect())
+    wide = means.groupBy(row).pivot(column, names).agg(F.round(F.first(value), digits))
+    return wide.join(means.groupBy(row).agg(F.round(F.avg(value), digits).alias("average")), row)
+
+
+def with_missing(results: DataFrame, mark: str = "N/A", digits: int = 4) -> DataFrame:
+    """Results as text for a report, missing ones marked."""
+    text = lambda c, kind: F.when(F.col(c).isNull(), mark).otherwise(F.format_number(c, digits) if kind in ("double", "float") else F.col(c).cast("string")).alias(c)
+    return results.select(*(text(c, kind) for c, kind in results.dtypes))
+
+
 def latest_by(df: DataFrame, key: list[str], time: str, tie: str, value: str) -> DataFrame:
     """key and the value of the last row in time."""
     return df.groupBy(*key).agg(F.max_by(value, F.struct(time, tie)).alias(value))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import prompts
@@ -166,10 +166,11 @@ def bootstrap_stderr(spark: SparkSession, d: str) -> DataFrame:
     return scores.bootstrap_error(accuracies(spark, d), ["id", "model"], "acc", 200, 11)
 
 
-@query(_ACC + " SELECT model, round(avg(acc) FILTER (task_name = 'daily_sense'), 6) AS daily_sense, round(avg(acc) FILTER (task_name = 'social_turns'), 6) AS social_turns, round(avg(acc) FILTER (task_name = 'tale_endings'), 6) AS tale_endings FROM c WHERE task_name IN ('daily_sense', 'social_turns', 'tale_endings') GROUP BY model")
+@query(_ACC + ", k AS (SELECT model, task_name, avg(acc) AS v FROM c GROUP BY ALL), p AS (PIVOT k ON task_name USING round(any_value(v), 6) GROUP BY model) SELECT p.*, m.average FROM p JOIN (SELECT model, round(avg(v), 6) AS average FROM k GROUP BY model) m USING (model)")
 def pivot_results(spark: SparkSession, d: str) -> DataFrame:
-    tasks = ["daily_sense", "social_turns", "tale_endings"]
-    return accuracies(spark, d).where(F.col("task_name").isin(tasks)).groupBy("model").pivot("task_name", tasks).agg(F.round(F.avg("acc"), 6))
+    """A row for each model, a column for each task, and the mean over the tasks that the model has."""
+    means = accuracies(spark, d).groupBy("model", "task_name").agg(F.avg("acc").alias("v"))
+    return scores.pivoted(means, "model", "task_name", "v")
 
 
 @query(
@@ -210,15 +211,15 @@ def final_answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT a.run_id, a.rank AS rank_a, b.rank AS rank_b, a.documents AS x, b.documents AS y FROM rank_stats a JOIN rank_stats b ON a.run_id = b.run_id AND a.rank < b.rank), s AS (SELECT *, CAST(x AS VARCHAR) AS u, CASE WHEN rank_b % 2 = 0 THEN CAST(x AS VARCHAR) || '00%' ELSE CAST(y AS VARCHAR) END AS v FROM p),
+    """WITH p AS (SELECT a.run_id, a.rank AS rank_a, b.rank AS rank_b, a.documents AS x, b.documents AS y FROM rank_stats a JOIN rank_stats b ON a.run_id = b.run_id AND a.rank + 1 = b.rank), s AS (SELECT *, CAST(x AS VARCHAR) AS u, CASE WHEN rank_b % 2 = 0 THEN CAST(x AS VARCHAR) || '00%' ELSE CAST(y AS VARCHAR) END AS v FROM p),
     n AS (SELECT *, CAST(x AS DOUBLE) AS f, CASE WHEN rank_b % 2 = 0 THEN CAST(x AS DOUBLE) ELSE CAST(y AS DOUBLE) END AS g FROM s)
     SELECT run_id, rank_a, rank_b, u = v OR abs(f - g) <= 1e-4 * greatest(abs(f), abs(g)) OR abs(f / 100 - g) <= 1e-4 * greatest(abs(f / 100), abs(g)) OR abs(f * 100 - g) <= 1e-4 * greatest(abs(f * 100), abs(g)) AS equal FROM n"""
 )
 def number_equality(spark: SparkSession, d: str) -> DataFrame:
-    """Figures of a run's ranks compared as answers, some of them written as percentages."""
+    """Figures of each rank and the next of a run compared as answers, some of them written as percentages."""
     stats = table(spark, d, "rank_stats").select("run_id", "rank", "documents")
     a, b = stats.selectExpr("run_id", "rank AS rank_a", "documents AS x"), stats.selectExpr("run_id", "rank AS rank_b", "documents AS y")
-    rows = a.join(b, "run_id").where("rank_a < rank_b")
+    rows = a.withColumn("rank_b", F.col("rank_a") + 1).join(b, ["run_id", "rank_b"])
     u = F.col("x").cast("string")
     v = F.when(F.col("rank_b") % 2 == 0, F.concat(u, F.lit("00%"))).otherwise(F.col("y").cast("string"))
     return rows.select("run_id", "rank_a", "rank_b", scores.numbers_equal(u, v).alias("equal"))
@@ -269,11 +270,17 @@ def prompts_of_items(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH r AS (SELECT doc_id, list(quality ORDER BY labelled_at, quality) AS s FROM labels WHERE quality IS NOT NULL GROUP BY doc_id), w AS (SELECT max(len(s)) AS m FROM r) SELECT CAST(i AS BIGINT) AS col, round(100 * avg(CASE WHEN s[least(i, len(s))] >= 3 THEN 1.0 ELSE 0 END), 1) AS accuracy FROM r, (SELECT unnest(range(1, m + 1)) AS i FROM w) GROUP BY i")
 def padded_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    """Mean accuracy by turn; documents with fewer turns keep their last one."""
+    """Mean accuracy by turn; documents with fewer turns keep their last one. Each document's last value counts from the turn behind its last on, so only
+    its own turns become rows."""
     rows = table(spark, d, "labels").where("quality IS NOT NULL").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("labelled_at", "quality"))), lambda x: (x["quality"] >= 3).cast("int")).alias("s"))
-    width = rows.agg(F.max(F.size("s"))).first()[0] or 1
-    turns = rows.select("s", F.explode(F.sequence(F.lit(1), F.lit(width))).alias("col"))
-    return turns.groupBy(F.col("col").cast("bigint").alias("col")).agg(F.round(100 * F.avg(F.element_at("s", F.least("col", F.size("s")))), 1).alias("accuracy"))
+    n, last = F.size("s"), F.element_at("s", -1)
+    steps = F.transform("s", lambda x, i: F.struct((i + 1).alias("col"), x.alias("hits"), F.lit(0).alias("kept"), F.when(i == 0, 1).otherwise(0).alias("documents")))
+    steps = F.concat(steps, F.array(F.struct((n + 1).alias("col"), F.lit(0).alias("hits"), last.alias("kept"), F.lit(0).alias("documents"))))
+    sums = rows.select(F.explode(steps).alias("x")).groupBy("x.col").agg(F.sum("x.hits").alias("hits"), F.sum("x.kept").alias("kept"), F.sum("x.documents").alias("documents"))
+    # one row for each turn: no more than the longest document has
+    upto = Window.orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
+    done = sums.withColumn("total", F.sum("kept").over(upto) + F.col("hits")).withColumn("all", F.sum("documents").over(upto)).withColumn("widest", F.max("col").over(Window.partitionBy()))
+    return done.where("col < widest").select(F.col("col").cast("bigint").alias("col"), F.round(100 * F.col("total") / F.col("all"), 1).alias("accuracy"))
 
 
 @query(f"WITH {_ANSWERS}, x AS (SELECT model, unnest(logprobs) AS lp, unnest(argmax_logits_eq_gold) AS ok FROM s WHERE len(argmax_logits_eq_gold) = len(logprobs)) SELECT model, round(-sum(lp), 4) AS loss, count(*) AS tokens, round(-sum(lp) / count(*), 6) AS log_perplexity, round(avg(CASE WHEN ok THEN 1.0 ELSE 0 END), 6) AS accuracy FROM x GROUP BY model")
@@ -288,11 +295,11 @@ def source_counters(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).groupBy("source").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("samples"))
 
 
-@query("SELECT vec_id, label, round(embedding[1], 5) AS first_score, CAST(list_position(list_slice(embedding, 1, 8), list_max(list_slice(embedding, 1, 8))) - 1 AS INT) AS best, list_position(list_slice(embedding, 1, 8), list_max(list_slice(embedding, 1, 8))) - 1 = label % 8 AS correct FROM embeddings")
+@query("SELECT vec_id, label, round(embedding[1], 5) AS first_score, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS best, list_position(embedding, list_max(embedding)) - 1 = label AS correct FROM embeddings")
 def vector_choice(spark: SparkSession, d: str) -> DataFrame:
     """Arg-max over score vectors."""
-    best = scores.best_choice(F.slice("embedding", 1, 8))
-    return table(spark, d, "embeddings").select("vec_id", "label", F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first_score"), best.alias("best"), (best == F.col("label") % 8).alias("correct"))
+    best = scores.best_choice(F.col("embedding"))
+    return table(spark, d, "embeddings").select("vec_id", "label", F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first_score"), best.alias("best"), (best == F.col("label")).alias("correct"))
 
 
 @query("SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS chars FROM documents ORDER BY chars DESC, doc_id LIMIT 15")

@@ -80,7 +80,7 @@ def document_program_drop(spark: SparkSession, d: str) -> DataFrame:
 
 def refined_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents refined by the rule model's programs."""
-    own = spread(documents(spark, d).select("doc_id", "text")).withColumn("program", models.rule_program(F.col("text")))
+    own = models.with_rule_program(spread(documents(spark, d).select("doc_id", "text")), "text", "program")
     return programs.accept(programs.execute(own, "text", "program"), "text")
 
 
@@ -264,10 +264,12 @@ def text_normalisers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "doc").select("id", F.md5(T.without_punctuation(q)).alias("bare"), (T.without_brackets(q) == q).alias("no_brackets"), T.final_number(number).alias("number"))
 
 
-@query(f"SELECT md5(string_agg(b, '' ORDER BY p)) AS corpus_hash, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT left(h, 4) AS p, md5(string_agg(h, '' ORDER BY h)) AS b, count(*) AS n FROM (SELECT sha256({TEXT}) AS h FROM documents) GROUP BY 1)")
+@query(f"SELECT md5(string_agg(b, '' ORDER BY p)) AS corpus_hash, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT left(h, 4) AS p, md5(string_agg(h || ':' || c, '' ORDER BY h)) AS b, sum(c) AS n FROM (SELECT sha256({TEXT}) AS h, count(*) AS c FROM documents GROUP BY 1) GROUP BY 1)")
 def corpus_hash(spark: SparkSession, d: str) -> DataFrame:
-    """A hash of all texts that does not depend on their order: first of the texts whose hashes begin alike, then of these."""
-    hashes = documents(spark, d).select(F.sha2("text", 256).alias("h"))
-    starts = hashes.groupBy(F.substring("h", 1, 4).alias("p")).agg(F.md5(F.array_join(F.array_sort(F.collect_list("h")), "")).alias("b"), F.count("*").alias("n"))
+    """A hash of all texts that does not depend on their order: first of each hash with its count (copies are summed before they are shuffled), then of
+    those that begin alike, then of these."""
+    hashes = documents(spark, d).groupBy(F.sha2("text", 256).alias("h")).agg(F.count("*").alias("c"))
+    item = F.concat("h", F.lit(":"), F.col("c").cast("string"))
+    starts = hashes.groupBy(F.substring("h", 1, 4).alias("p")).agg(F.md5(F.array_join(F.array_sort(F.collect_list(item)), "")).alias("b"), F.sum("c").alias("n"))
     # at most 65,536 rows
     return starts.agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "b"))), lambda x: x["b"]), "")).alias("corpus_hash"), F.sum("n").alias("rows"))

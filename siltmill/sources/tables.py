@@ -10,8 +10,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Bytes of files up to which an input may be spread by a shuffle.
+SMALL = 64 * 1024 * 1024
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """The rows in at least as many partitions as the cluster has cores. A small input that lies in one or two row groups would
-    keep all but one or two cores idle; a large one has more partitions anyway and is left as it is, without a shuffle."""
+    """A small input (at most SMALL bytes by its files) in as many partitions as there are cores: it may lie in one row group, which no setting of the
+    reader divides. A larger one is left as the files are split (spark.sql.files.maxPartitionBytes), so its texts are never shuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if size <= SMALL and df.rdd.getNumPartitions() < cores else df

@@ -14,7 +14,7 @@ from ..operators import models, programs
 def refine_stream(spark: SparkSession, source: str, schema: K.StructType, key: str, text: str, target: str, checkpoint: str, files_a_batch: int = 1_000) -> StreamingQuery:
     """Refines the Parquet files of a folder that are not refined yet, and ends. The checkpoint knows which are done, so a run that broke off is resumed by another."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
-    own = rows.withColumn("refine_input", filled(F.col(text))).withColumn("program", models.rule_program(F.col("refine_input")))
+    own = models.with_rule_program(rows.withColumn("refine_input", filled(F.col(text))), "refine_input", "program")
     done = programs.accept(programs.execute(own, "refine_input", "program"), "refine_input").select(key, "program", "errors", "removed_lines", "status", "refined")
     return done.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

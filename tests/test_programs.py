@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +98,42 @@ def test_model_failures_become_rows(spark):
 
 def test_rule_program(spark):
     text = "same\nother\nsame\nhttps://a.example/b\n\n\ntwo  blanks"
-    rows = spark.createDataFrame([(text,)], "text string").withColumn("program", models.rule_program(F.col("text")))
+    rows = models.with_rule_program(spark.createDataFrame([(text,)], "text string"), "text", "program")
     got = programs.execute(rows, "text", "program").first()
     assert got["edited"] == "same\nother\n\n\ntwo blanks"
+
+
+def test_ranges_of_every_kind_against_brute_force(spark):
+    """Overlapping, touching, reversed, negative and far ranges; more of them than one piece holds."""
+    rng = random.Random(12)
+    cases = []
+    for size in (0, 1, 5, 40, 300, 900):
+        for _ in range(6):
+            text = "\n".join(f"line {i}" for i in range(rng.randint(1, 60)))
+            pairs = [(a, a + rng.choice([0, 0, 1, 5, -2, 70])) for a in (rng.randint(-3, 70) for _ in range(size))]
+            cases.append((len(cases), text, "\n".join(f"remove_lines(line_start={a}, line_end={b})" for a, b in pairs), pairs))
+    df = spark.createDataFrame([c[:3] for c in cases], "id int, text string, program string")
+    got = {r["id"]: r for r in programs.execute(df, "text", "program").collect()}
+    for i, text, _, pairs in cases:
+        own = text.split("\n")
+        gone = {x for a, b in pairs for x in range(a, b + 1)}
+        kept = [x for n, x in enumerate(own) if n not in gone]
+        merged = []
+        for a, b in sorted(pairs, key=lambda p: p[0]):
+            if merged and a <= merged[-1][1] + 1:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        assert got[i]["edited"] == "\n".join(kept) and got[i]["removed_lines"] == len(own) - len(kept)
+        assert [[m["first"], m["last"]] for m in got[i]["merged"]] == merged
+        assert got[i]["errors"] == sum(a >= len(own) or b >= len(own) for a, b in merged)
+
+
+def test_a_book_of_many_lines(spark):
+    """50,000 lines, half of them to be removed one by one, in seconds."""
+    text = "\n".join(f"line number {i // 2} of the book" if i % 2 else f"other words {i} here" for i in range(25_000)) + "\n" + "\n".join("again" if i % 2 else f"fresh {i}" for i in range(25_000))
+    rows = models.with_rule_program(spark.createDataFrame([(1, text)], "id int, text string"), "text", "program")
+    began = time.monotonic()
+    got = programs.accept(programs.execute(rows, "text", "program"), "text").first()
+    assert time.monotonic() - began < 20
+    assert got["removed_lines"] == 12_499 and got["errors"] == 0 and got["status"] == "edited"
