@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .ordering import with_prefix
 
 #: The packed file's mark and version.
@@ -24,19 +25,55 @@ HEADER = "<7sQBQ"
 def pack_blocks(df: DataFrame, order: list[str], ids: str, size: int) -> DataFrame:
     """block and block_ids: all ids one after another, cut every `size`. The last block is left out if it is not full.
 
-    order: columns that together are unique. Offsets are sums over the arrays' lengths alone; the arrays are joined to
-    them and cut into their stretches of blocks in place, so no id becomes a row.
+    order: columns that together are unique. The arrays are brought into order once, in range partitions of even size, and written to the shared folder;
+    each partition knows from the others' totals where in the whole it begins, and cuts its blocks itself. Only the pieces of blocks that lie in
+    two or more partitions are shuffled, two a partition.
     """
-    n = F.size(ids)
-    offsets = with_prefix(df.select(*order, n.alias("__n")), list(order), F.col("__n"), "_offset").drop("__n")
-    rows = df.select(*order, ids).join(offsets, order).where(n > 0)
-    first, last = F.floor(F.col("_offset") / size), F.floor((F.col("_offset") + n - 1) / size)
-    rows = rows.select(ids, "_offset", F.explode(F.sequence(first, last)).alias("block"))
-    begin = F.greatest(F.col("block") * size - F.col("_offset"), F.lit(0))
-    end = F.least((F.col("block") + 1) * size - F.col("_offset"), n)
-    parts = rows.select("block", F.col("_offset"), F.slice(ids, (begin + 1).cast("int"), (end - begin).cast("int")).alias("_part"))
-    blocks = parts.groupBy("block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_offset", "_part"))), lambda p: p["_part"])).alias("block_ids"))
-    return blocks.where(F.size("block_ids") == size)
+    keys = [F.col(o).alias(f"__key{i}") for i, o in enumerate(order)]
+    by = [f"__key{i}" for i in range(len(order))]
+    rows = df.select(*keys, F.col(ids).cast("array<bigint>").alias("__ids")).where(F.size("__ids") > 0)
+    rows = durable(rows.repartitionByRange(*by).sortWithinPartitions(*by).select("__ids", F.spark_partition_id().alias("__part")))
+    totals = {r["__part"]: r["n"] for r in rows.groupBy("__part").agg(F.sum(F.size("__ids")).alias("n")).collect()}  # a number for each task
+    starts, at = {}, 0
+    for part in sorted(totals):
+        starts[part] = at
+        at += totals[part]
+    kind = df.schema[ids].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        offset = count = 0
+        begun = False
+
+        def sent(values: np.ndarray, first: int) -> Iterator[pa.RecordBatch]:
+            # values begin at `first` of the whole; whole blocks, and the pieces of others at both ends
+            edges = [first, *range((first // size + 1) * size, first + len(values), size), first + len(values)]
+            for i in range(0, len(edges) - 1, 1_000):
+                part = edges[i : i + 1_001]
+                lists = pa.ListArray.from_arrays(pa.array(np.array(part) - part[0], pa.int32()), pa.array(values[part[0] - first : part[-1] - first], pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([e // size for e in part[:-1]], pa.int64()), pa.array(part[:-1], pa.int64()), lists], ["block", "at", "part"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if not begun:
+                offset, begun = starts[batch.column(1)[0].as_py()], True
+            values = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            held.append(values)
+            count += len(values)
+            # up to the last border of a block
+            full = (offset + count) // size * size - offset
+            if full >= 1 << 20:
+                values = np.concatenate(held)
+                yield from sent(values[:full], offset)
+                held, offset, count = [values[full:]], offset + full, count - full
+        if count:
+            yield from sent(np.concatenate(held), offset)
+
+    pieces = rows.select("__ids", "__part").mapInArrow(cut, "block bigint, at bigint, part array<bigint>")
+    whole = F.size("part") == size
+    joined = pieces.where(~whole).groupBy("block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: p["part"])).alias("part")).where(whole)
+    return pieces.where(whole).select("block", "part").unionByName(joined).select("block", F.col("part").cast(kind).alias("block_ids"))
 
 
 def sequences(ids: Column, size: int) -> Column:
@@ -46,9 +83,18 @@ def sequences(ids: Column, size: int) -> Column:
     return F.transform(starts, lambda i: F.struct(F.slice(ids, i * size + 1, size).alias("x"), F.slice(ids, i * size + 2, size).alias("y")))
 
 
+#: Lengths that are summed at a time. Arrays are copied when they grow, so long ones grow in pieces.
+PIECE = 256
+
+
 def cumulative_lengths(lengths: Column) -> Column:
-    """0 and the running sums."""
-    return F.aggregate(lengths, F.array(F.lit(0).cast("bigint")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    """0 and the running sums: within pieces, with the sum of the pieces before carried into each."""
+    pieces = lambda: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(lengths) / PIECE).cast("int") - 1, F.lit(0))), lambda i: F.slice(lengths, i * PIECE + 1, PIECE))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda a, n: a + n)
+    grown = lambda x, start: F.aggregate(x, F.array(start), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    carried = grown(F.transform(pieces(), total), F.lit(0).cast("bigint"))
+    sums = F.flatten(F.zip_with(pieces(), F.slice(carried, F.lit(1), F.size(carried) - 1), lambda p, start: F.slice(grown(p, start), F.lit(2), F.greatest(F.size(p), F.lit(1)))))
+    return F.when(F.size(lengths) == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.concat(F.array(F.lit(0).cast("bigint")), sums))
 
 
 def lengths_of(cumulative: Column) -> Column:

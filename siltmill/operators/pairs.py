@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,13 +42,35 @@ def with_end(target: Column, end: str) -> Column:
     return F.when(F.endswith(target, F.lit(end)), target).otherwise(F.concat(target, F.lit(end)))
 
 
-def dissimilarity(a: Column, b: Column) -> Column:
-    """(1 - quick ratio) times the summed lengths: what the two strings' characters, as multisets, do not share."""
-    shared = F.aggregate(
-        F.array_distinct(F.split(a, "")), F.lit(0).cast("bigint"), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(F.length(a) - F.length(F.replace(a, c, F.lit(""))), F.length(b) - F.length(F.replace(b, c, F.lit("")))))
-    )
-    total = F.length(a) + F.length(b)
-    return F.when(a == b, F.lit(0.0)).when((a == "") | (b == ""), total.cast("double")).otherwise((total - 2 * shared).cast("double"))
+#: Characters that are counted at a time.
+CHARACTERS = 4_000_000
+
+
+def _shared_characters(a: list[str], b: list[str]) -> np.ndarray:
+    """Size of the intersection of the two strings' multisets of characters, for each pair."""
+
+    def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        rows = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+        return np.unique(rows << 21 | codes, return_counts=True)
+
+    (x, n), (y, m) = counted(a), counted(b)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return np.bincount(x[i] >> 21, np.minimum(n[i], m[j]), minlength=len(a))
+
+
+@F.pandas_udf(K.DoubleType())
+def dissimilarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """(1 - quick ratio) times the summed lengths: what the two strings' characters, as multisets, do not share. Counted for many rows at once."""
+    x, y = a.fillna("").tolist(), b.fillna("").tolist()
+    total = np.array([len(p) + len(q) for p, q in zip(x, y)], np.int64)
+    shared = np.zeros(len(x))
+    begin = 0
+    while begin < len(x):
+        end = max(begin + 1, int(np.searchsorted(np.cumsum(total[begin:]), CHARACTERS)) + begin)
+        shared[begin:end] = _shared_characters(x[begin:end], y[begin:end])
+        begin = end
+    return pd.Series(total - 2.0 * shared)
 
 
 def character_keep_mask(reference: str, output: str) -> str:
@@ -87,16 +110,31 @@ def masked_text(text: Column, mask: Column) -> Column:
     return F.array_join(F.zip_with(F.split(text, ""), F.split(mask, ""), lambda c, m: F.when(m == "1", c).otherwise("")), "")
 
 
-def token_labels(offsets: Column, mask: Column, length: Column) -> Column:
-    """For each token (s, e): 0 if the mask has a 0 in its span, else 1; ignored where the span is empty or beyond. All 0 if the mask is not as long as the text."""
-    return F.when(F.length(mask) != length, F.transform(offsets, lambda o: F.lit(0))).otherwise(
-        F.transform(offsets, lambda o: F.when((o["e"] <= o["s"]) | (o["s"] < 0) | (o["e"] > length), IGNORED).when(F.contains(F.substring(mask, o["s"] + 1, o["e"] - o["s"]), F.lit("0")), 0).otherwise(1))
-    )
+@F.pandas_udf(K.ArrayType(K.IntegerType()))
+def token_labels(starts: pd.Series, ends: pd.Series, mask: pd.Series, length: pd.Series) -> pd.Series:
+    """For each token from its start to its end: 0 if the mask has a 0 there, else 1; ignored where the span is empty or beyond. All 0 if the mask is not as
+    long as the text. Zeros are summed along the mask once, so a long text costs as much as its length."""
+    out = []
+    for s, e, m, n in zip(starts, ends, mask, length):
+        s, e, m = np.asarray(s, np.int64), np.asarray(e, np.int64), m or ""
+        if len(m) != n:
+            out.append(np.zeros(len(s), np.int32))
+            continue
+        zeros = np.concatenate(([0], np.cumsum(np.frombuffer(m.encode("ascii", "replace"), np.uint8) == 48)))
+        bad = (e <= s) | (s < 0) | (e > n)
+        held = zeros[np.clip(e, 0, n)] - zeros[np.clip(s, 0, n)]
+        out.append(np.where(bad, IGNORED, np.where(held > 0, 0, 1)).astype(np.int32))
+    return pd.Series(out)
 
 
-def kept_tokens(text: Column, tokens: Column, threshold: float = 0.0) -> Column:
+@F.pandas_udf(K.StringType())
+def kept_tokens(text: pd.Series, starts: pd.Series, ends: pd.Series, scores: pd.Series, threshold: pd.Series) -> pd.Series:
     """The text's stretches of the tokens with a score above the threshold."""
-    return F.array_join(F.transform(F.filter(tokens, lambda t: (t["score"] > threshold) & (t["e"] > t["s"])), lambda t: F.substring(text, t["s"] + 1, t["e"] - t["s"])), "")
+    out = []
+    for t, s, e, p, least in zip(text, starts, ends, scores, threshold):
+        keep = (np.asarray(p, float) > least) & (np.asarray(e) > np.asarray(s)) if len(s) else np.zeros(0, bool)
+        out.append("".join([t[a:b] for a, b in zip(np.asarray(s)[keep].tolist(), np.asarray(e)[keep].tolist())]))
+    return pd.Series(out, dtype=object)
 
 
 def causal_example(prompt: Column, target: Column, most: int, full_loss: bool = False) -> tuple[Column, Column]:

@@ -69,6 +69,12 @@ def ranges_of(ops: Column) -> Column:
 PIECE = 256
 
 
+def _once(column: Column) -> Column:
+    """The column behind a barrier: a filter on it is not rewritten in terms of the steps it was made by, which would repeat them many times over.
+    Filters on other columns belong before the operator."""
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 def with_merged_ranges(df: DataFrame, ranges: str, name: str) -> DataFrame:
     """Adds the ranges by start, joined where one begins no later than just behind the end of those before.
 
@@ -78,23 +84,24 @@ def with_merged_ranges(df: DataFrame, ranges: str, name: str) -> DataFrame:
     s, pieces, tops = "__sorted", "__pieces", "__tops"
     least = F.lit(-(1 << 62)).cast("bigint")
     count = F.ceil(F.size(s) / PIECE).cast("int")
-    done = df.withColumn(s, F.sort_array(F.col(ranges)))
+    placed = lambda x, i: F.struct(x["first"].alias("first"), i.alias("at"), x["last"].alias("last"))
+    done = df.withColumn(s, F.transform(F.sort_array(F.col(ranges)), placed))
     done = done.withColumn(pieces, F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.slice(F.col(s), i * PIECE + 1, PIECE))).otherwise(F.array().cast("array<array<struct<first:bigint,at:int,last:bigint>>>")))
     done = done.withColumn(tops, F.transform(pieces, lambda p: F.array_max(F.transform(p, lambda x: x["last"]))))
 
     def opened(piece: Column, carried: Column) -> Column:
         def add(state: Column, x: Column) -> Column:
-            new = F.array(F.struct(x["first"].alias("first"), state["top"].alias("before")))
+            new = F.array(F.struct(x["first"].alias("first"), x["at"].alias("at")))
             return F.struct(F.when(x["first"] > state["top"] + 1, F.concat(state["opened"], new)).otherwise(state["opened"]).alias("opened"), F.greatest(state["top"], x["last"]).alias("top"))
 
-        start = F.struct(F.array().cast("array<struct<first:bigint,before:bigint>>").alias("opened"), F.coalesce(carried, least).alias("top"))
+        start = F.struct(F.array().cast("array<struct<first:bigint,at:int>>").alias("opened"), F.coalesce(carried, least).alias("top"))
         return F.aggregate(piece, start, add, lambda state: state["opened"])
 
     carried = F.transform(F.col(tops), lambda _, i: F.array_max(F.slice(F.col(tops), F.lit(1), i)))
     done = done.withColumn("__carried", carried).withColumn("__opened", F.flatten(F.zip_with(pieces, "__carried", opened)))
-    last = lambda i: F.coalesce(F.get(F.col("__opened"), i + 1)["before"], F.array_max(F.col(tops)))
-    merged = F.transform("__opened", lambda x, i: F.struct(x["first"].alias("first"), last(i).alias("last")))
-    return done.withColumn(name, merged).drop(s, pieces, tops, "__carried", "__opened")
+    own = lambda x, i: F.slice(F.col(s), x["at"] + 1, F.coalesce(F.get(F.col("__opened"), i + 1)["at"], F.size(s)) - x["at"])
+    merged = F.transform("__opened", lambda x, i: F.struct(x["first"].alias("first"), F.array_max(F.transform(own(x, i), lambda y: y["last"])).alias("last")))
+    return done.withColumn(name, _once(merged)).drop(s, pieces, tops, "__carried", "__opened")
 
 
 def execute(df: DataFrame, text: str, program: str) -> DataFrame:
@@ -120,8 +127,8 @@ def execute(df: DataFrame, text: str, program: str) -> DataFrame:
     kept = F.when(F.col("__all"), F.array().cast("array<string>")).when(F.size("__gone") == 0, F.col("__lines")).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.size("__gone")), stretch)))
     beyond = F.size(F.filter("merged", lambda r: (r["first"] >= count) | (r["last"] >= count)))
     own = F.aggregate("__ops", F.lit(0), lambda n, o: n + o["errors"])
-    done = done.withColumn("__kept", kept).withColumn("errors", (own + beyond).cast("bigint"))
-    done = done.withColumn("edited", F.array_join("__kept", "\n")).withColumn("removed_lines", (count - F.size("__kept")).cast("bigint"))
+    done = done.withColumn("__kept", kept).withColumn("errors", _once((own + beyond).cast("bigint")))
+    done = done.withColumn("edited", _once(F.array_join("__kept", "\n"))).withColumn("removed_lines", _once((count - F.size("__kept")).cast("bigint")))
     return done.drop("__text", "__ops", "__lines", "__ranges", "__real", "__gone", "__all", "__kept")
 
 
@@ -141,7 +148,7 @@ def accept(df: DataFrame, text: str, least_share: float = 0.0, drop_share: float
         .when((share >= F.lit(least_share)) & few, "edited")
         .otherwise("original")
     )
-    done = done.withColumn("status", status)
+    done = done.withColumn("status", _once(status))
     refined = F.when(F.col("status") == "edited", F.col("edited")).when(F.col("status") == "original", filled(F.col(text))).otherwise("")
     return done.withColumn("refined", refined).drop("__before", "__after")
 

@@ -7,7 +7,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import keyed_hash
+from .ordering import global_index, keyed_hash
 
 
 def hash_share(seed: int, *key: Column) -> Column:
@@ -53,6 +53,7 @@ def balanced_pool(df: DataFrame, key: str, label: str, seed: int, n: int) -> Dat
     return ranked.orderBy("turn", F.col("_size").desc(), label).limit(n).drop("_size")
 
 
-def multi_epoch_files(seed: int, folders: int, name: Column) -> Column:
-    """Folder (from 1) of each file after a shuffle of all: rank by hash, dealt in turn. For file lists, which are short."""
-    return (F.row_number().over(Window.orderBy(keyed_hash(seed, name))) % folders + 1).cast("bigint")
+def multi_epoch_files(files: DataFrame, name: str, seed: int, folders: int) -> DataFrame:
+    """name and folder (from 1) of each file after a shuffle of all: rank by hash, dealt in turn. The rank is taken over range partitions."""
+    ranked = global_index(files.select(name, keyed_hash(seed, F.col(name)).alias("__h")), ["__h", name])
+    return ranked.select(name, ((F.col("global_index") + 1) % folders + 1).cast("bigint").alias("folder"))

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
+import string
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,19 +125,48 @@ def novel_share(source: Column, summary: Column, n: int) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_except(b, a)).cast("double"), F.size(b).cast("double")), F.lit(0.0))
 
 
+def _numbered(x: list[str], y: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of two texts as numbers, equal ones alike."""
+    known: dict[str, int] = {}
+    return tuple(np.array([known.setdefault(w, len(known)) for w in z], np.int64) for z in (x, y))
+
+
+def edit_distance(x: list[str], y: list[str]) -> int:
+    """Fewest words to replace, put in or leave out. A row of the table is one step of array arithmetic."""
+    a, b = _numbered(x, y)
+    places = np.arange(len(b) + 1)
+    row = places.copy()
+    for i, w in enumerate(a, 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (b != w))
+        # words put in: the least of what stands to the left, plus the way from there
+        row = np.minimum.accumulate(np.concatenate(([i], best)) - places) + places
+    return int(row[-1])
+
+
+def common_subsequence(x: list[str], y: list[str]) -> int:
+    """Length of the longest common subsequence, by one number whose bits stand for the words of x."""
+    masks: dict[str, int] = {}
+    for i, w in enumerate(x):
+        masks[w] = masks.get(w, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    state = full
+    for w in y:
+        hit = state & masks.get(w, 0)
+        state = ((state + hit) | (state - hit)) & full
+    return len(x) - state.bit_count()
+
+
 @F.pandas_udf(K.LongType())
 def word_edits(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit distance in words."""
-    out = []
-    for x, y in zip(a, b):
-        x, y = (x or "").split(), (y or "").split()
-        row = list(range(len(y) + 1))
-        for i, w in enumerate(x, 1):
-            last, row[0] = row[0], i
-            for j, v in enumerate(y, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (w != v))
-        out.append(row[-1])
-    return pd.Series(out, dtype="int64")
+    return pd.Series([edit_distance((x or "").split(), (y or "").split()) for x, y in zip(a, b)], dtype="int64")
+
+
+@F.pandas_udf(K.DoubleType())
+def edit_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """1 less the edit distance by the longer text's words; two empty texts are alike."""
+    words_ = [((x or "").split(), (y or "").split()) for x, y in zip(a, b)]
+    return pd.Series([1 - edit_distance(x, y) / max(len(x), len(y)) if x or y else 1.0 for x, y in words_])
 
 
 @F.pandas_udf(K.DoubleType())
@@ -142,41 +175,142 @@ def longest_common_f1(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(a, b):
         x, y = (x or "").split(), (y or "").split()
-        row = [0] * (len(y) + 1)
-        for w in x:
-            last = 0
-            for j, v in enumerate(y, 1):
-                last, row[j] = row[j], last + 1 if w == v else max(row[j], row[j - 1])
-        out.append(2 * row[-1] / (len(x) + len(y)) if row[-1] else 0.0)
+        n = common_subsequence(x, y)
+        out.append(2 * n / (len(x) + len(y)) if n else 0.0)
     return pd.Series(out)
 
 
+def union_of_subsequences(sentence: list[str], others: list[list[str]]) -> set[int]:
+    """Places of the sentence's words that lie in the longest common subsequence with any of the others."""
+    held: set[int] = set()
+    for other in others:
+        table = np.zeros((len(sentence) + 1, len(other) + 1), np.int32)
+        a, b = _numbered(sentence, other)
+        for i in range(len(a)):
+            # the longest so far: from above, or one more where the words agree
+            table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], table[i, :-1] + (b == a[i])))
+        i, j = len(a), len(b)
+        while i and j:
+            if a[i - 1] == b[j - 1]:
+                held.add(i - 1)
+                i, j = i - 1, j - 1
+            elif table[i - 1, j] >= table[i, j - 1]:
+                i -= 1
+            else:
+                j -= 1
+    return held
+
+
+@F.pandas_udf(K.DoubleType())
+def summary_f1(gold: pd.Series, prediction: pd.Series) -> pd.Series:
+    """ROUGE-Lsum: lines are sentences; of each gold one counts what any of the predicted ones shares with it in order, each word as often as both texts have it."""
+    out = []
+    for g, p in zip(gold, prediction):
+        gold_lines, lines_ = ([x.split() for x in (t or "").split("\n") if x.split()] for t in (g, p))
+        have, left = (Counter(w for x in z for w in x) for z in (gold_lines, lines_))
+        size, other, hits = have.total(), left.total(), 0
+        for sentence in gold_lines:
+            for i in sorted(union_of_subsequences(sentence, lines_)):
+                w = sentence[i]
+                if have[w] > 0 and left[w] > 0:
+                    have[w] -= 1
+                    left[w] -= 1
+                    hits += 1
+        out.append(2 * hits / (size + other) if hits else 0.0)
+    return pd.Series(out)
+
+
+def best_assignment(scores: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows and columns with the highest sum, every row or every column in one pair: the Hungarian method, in cubic time."""
+    turned = scores.shape[0] > scores.shape[1]
+    cost = -(scores.T if turned else scores)
+    n, m = cost.shape
+    u, v = np.zeros(n + 1), np.zeros(m + 1)
+    owner = np.zeros(m + 1, int)
+    for i in range(1, n + 1):
+        owner[0], column = i, 0
+        least, back, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+        while owner[column]:
+            used[column] = True
+            row = owner[column]
+            free = ~used[1:]
+            slack = cost[row - 1] - u[row] - v[1:]
+            better = free & (slack < least[1:])
+            least[1:][better], back[1:][better] = slack[better], column
+            following = int(np.where(free, least[1:], np.inf).argmin()) + 1
+            step = least[following]
+            u[owner[used]] += step
+            v[used] -= step
+            least[~used] -= step
+            column = following
+        while column:
+            owner[column] = owner[back[column]]
+            column = back[column]
+    pairs = [(int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j]]
+    return [(b, a) for a, b in pairs] if turned else pairs
+
+
+def _is_number(text: str) -> bool:
+    try:
+        float(text)
+    except ValueError:
+        return False
+    return True
+
+
+def reading_words(answer: str) -> list[str]:
+    """Words of an answer as reading comprehension compares them: small letters, without punctuation and articles, numbers in one spelling."""
+    out = []
+    for token in re.split("[ -]", answer):
+        token = token.lower()
+        if not _is_number(token):
+            token = "".join(c for c in token if c not in string.punctuation)
+        token = str(float(token)) if _is_number(token) else re.sub(r"\b(a|an|the)\b", " ", token)
+        out += token.split()
+    return out
+
+
+def spans_score(golds_: list[str], found: list[str]) -> tuple[float, float]:
+    """Exact match of the spans as sets, and the mean word F1 of their best one-to-one assignment; a span without any of the gold one's numbers does not match it."""
+    gold_words, words_ = ([reading_words(x) for x in z] for z in (golds_, found))
+    exact = float({" ".join(x) for x in gold_words} == {" ".join(x) for x in words_})
+    scores = np.zeros((len(gold_words), len(words_)))
+    for i, g in enumerate(map(set, gold_words)):
+        numbers = {w for w in g if _is_number(w)}
+        for j, p in enumerate(map(set, words_)):
+            if not numbers or numbers & p:
+                precision, recall = (len(g & p) / len(x) if x else 1.0 for x in (p, g))
+                scores[i, j] = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
+    if not scores.size:
+        return exact, 0.0
+    return exact, sum(scores[i, j] for i, j in best_assignment(scores)) / max(scores.shape)
+
+
+@F.pandas_udf(K.StructType([K.StructField("exact", K.DoubleType()), K.StructField("f1", K.DoubleType())]))
+def reading_scores(golds_: pd.Series, predictions: pd.Series) -> pd.DataFrame:
+    """spans_score of lists of spans; F1 to two digits."""
+    spans = lambda x: [s or "" for s in x] if x is not None else []
+    rows = [spans_score(spans(g), spans(p)) for g, p in zip(golds_, predictions)]
+    return pd.DataFrame({"exact": [a for a, _ in rows], "f1": [round(b, 2) for _, b in rows]})
+
+
 @F.pandas_udf(K.DoubleType())
 def assigned_f1(golds_: pd.Series, predictions: pd.Series) -> pd.Series:
-    """Mean word F1 of the best one-to-one assignment of predicted spans to gold spans; spans left over count 0."""
+    """Mean word F1 of the best one-to-one assignment of predicted spans to gold spans; spans left over count 0, two empty lists agree."""
 
     def f1(a: str, b: str) -> float:
         x, y = set(a.lower().split()), set(b.lower().split())
         return 2 * len(x & y) / (len(x) + len(y)) if x & y else 0.0
 
-    def best(gold: list[str], found: list[str]) -> float:
-        if len(gold) > len(found):
-            gold, found = found, gold
-        if not gold:
-            return float(not found)
-        # the fewer spans are assigned one after another; state: which of the others are taken
-        states = {0: 0.0}
-        for g in gold:
-            after: dict[int, float] = {}
-            for taken, total in states.items():
-                for j, p in enumerate(found):
-                    if not taken >> j & 1:
-                        key = taken | 1 << j
-                        after[key] = max(after.get(key, -1.0), total + f1(g, p))
-            states = after
-        return max(states.values()) / len(found)
-
-    return pd.Series([best([x or "" for x in g] if g is not None else [], [x or "" for x in p] if p is not None else []) for g, p in zip(golds_, predictions)])
+    out = []
+    for g, p in zip(golds_, predictions):
+        gold, found = ([x or "" for x in z] if z is not None else [] for z in (g, p))
+        if not gold or not found:
+            out.append(float(not gold and not found))
+            continue
+        scores = np.array([[f1(a, b) for b in found] for a in gold])
+        out.append(sum(scores[i, j] for i, j in best_assignment(scores)) / max(scores.shape))
+    return pd.Series(out)
 
 
 def majority(answers: Column) -> Column:

@@ -123,9 +123,9 @@ def majority_vote(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT user_id, least(count(*), 20) AS n, least(count(*) FILTER (event_type = 'purchase'), 20) AS c0 FROM events GROUP BY user_id), g AS (SELECT user_id, n, least(c0, n) AS c FROM c)
+    """WITH g AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS c FROM events GROUP BY user_id)
     SELECT user_id, round(CASE WHEN n - c < 3 THEN 1 ELSE 1 - coalesce(list_product(list_transform(range(n - c + 1, n + 1), lambda i: 1 - 3.0 / i)), 1) END, 6) AS pass_3,
-    round(list_sum(list_transform([2, 3], lambda i: CASE WHEN i > c OR 3 - i > n - c THEN 0 ELSE factorial(CAST(c AS INT)) / (factorial(CAST(i AS INT)) * factorial(CAST(c - i AS INT))) * (factorial(CAST(n - c AS INT)) / (factorial(CAST(3 - i AS INT)) * factorial(CAST(n - c - 3 + i AS INT)))) / (factorial(CAST(n AS INT)) / (factorial(3) * factorial(CAST(n - 3 AS INT)))) END)), 6) AS half_of_3 FROM g WHERE n >= 3"""
+    round(c * (c - 1.0) * (3 * (n - c) + c - 2) / (n * (n - 1.0) * (n - 2)), 6) AS half_of_3 FROM g WHERE n >= 3"""
 )
 def pass_at_k(spark: SparkSession, d: str) -> DataFrame:
     """Chances over samples; a user's events stand in for samples of an item, purchases for correct ones."""
@@ -166,7 +166,10 @@ def bootstrap_stderr(spark: SparkSession, d: str) -> DataFrame:
     return scores.bootstrap_error(accuracies(spark, d), ["id", "model"], "acc", 200, 11)
 
 
-@query(_ACC + ", k AS (SELECT model, task_name, avg(acc) AS v FROM c GROUP BY ALL), p AS (PIVOT k ON task_name USING round(any_value(v), 6) GROUP BY model) SELECT p.*, m.average FROM p JOIN (SELECT model, round(avg(v), 6) AS average FROM k GROUP BY model) m USING (model)")
+_MEANS = _ACC + ", k AS (SELECT model, task_name, avg(acc) AS v FROM c GROUP BY ALL) SELECT model, task_name, v FROM k"
+
+
+@query(f"SELECT p.*, m.average FROM (PIVOT ({_MEANS}) ON task_name USING round(any_value(v), 6) GROUP BY model) p JOIN (SELECT model, round(avg(v), 6) AS average FROM ({_MEANS}) GROUP BY model) m USING (model)")
 def pivot_results(spark: SparkSession, d: str) -> DataFrame:
     """A row for each model, a column for each task, and the mean over the tasks that the model has."""
     means = accuracies(spark, d).groupBy("model", "task_name").agg(F.avg("acc").alias("v"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -118,7 +118,7 @@ def fewshot_balanced(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT source_parquet, CAST(row_number() OVER (ORDER BY {_HASH(5, _SOURCE)}) % 4 + 1 AS BIGINT) AS folder FROM (SELECT DISTINCT source_parquet FROM crawl_rows)")
 def file_shuffle(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "crawl_rows").select("source_parquet").distinct().select("source_parquet", sampling.multi_epoch_files(5, 4, F.col("source_parquet")).alias("folder"))
+    return sampling.multi_epoch_files(table(spark, d, "crawl_rows").select("source_parquet").distinct(), "source_parquet", 5, 4)
 
 
 @query(
@@ -158,24 +158,25 @@ def word_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH o AS (SELECT doc_id, {TEXT} AS text, list_transform(range(length({TEXT}) // 5), lambda i: i * 5) AS starts, array_to_string(list_transform(range(length({TEXT})), lambda i: CASE WHEN i % 11 = 3 THEN '0' ELSE '1' END), '') AS mask FROM documents)
-    SELECT doc_id, CAST(list_sum(list_transform(starts, lambda s: CASE WHEN contains(substr(mask, s + 1, 5), '0') THEN 0 ELSE 1 END)) AS BIGINT) AS kept, CAST(len(starts) AS BIGINT) AS tokens,
-    md5(array_to_string(list_transform(list_filter(starts, lambda s: s % 3 > 0), lambda s: substr(text, s + 1, 5)), '')) AS rebuilt FROM o WHERE length(text) >= 5 AND length(text) < 5000"""
+    f"""WITH o AS (SELECT doc_id, regexp_extract_all({TEXT}, '(?s).{{5}}') AS tokens FROM documents)
+    SELECT doc_id, CAST(coalesce(list_sum(list_transform(range(len(tokens)), lambda i: CASE WHEN (3 - i * 5 % 11 + 11) % 11 < 5 THEN 0 ELSE 1 END)), 0) AS BIGINT) AS kept, CAST(len(tokens) AS BIGINT) AS tokens,
+    md5(array_to_string(list_transform(list_filter(range(len(tokens)), lambda i: i * 5 % 3 > 0), lambda i: tokens[i + 1]), '')) AS rebuilt FROM o"""
 )
 def token_labels(spark: SparkSession, d: str) -> DataFrame:
     """Labels of tokens (here five characters each) from a character mask, and the text rebuilt from the kept ones."""
-    t = F.col("text")
-    none, count = F.array().cast("array<int>"), F.floor(F.length(t) / 5).cast("int")
-    own = documents(spark, d).select("doc_id", "text")
-    own = own.withColumn("mask", F.array_join(F.transform(F.when(F.length(t) > 0, F.sequence(F.lit(0), F.length(t) - 1)).otherwise(none), lambda i: F.when(i % 11 == 3, "0").otherwise("1")), ""))
-    starts = F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(none), lambda i: i * 5)
-    own = own.withColumn("tokens", F.transform(starts, lambda s: F.struct(s.alias("s"), (s + 5).alias("e"), (s % 3).cast("double").alias("score"))))
-    labels = pairs.token_labels(F.col("tokens"), F.col("mask"), F.length(t))
-    return own.select("doc_id", F.aggregate(labels, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("kept"), F.size("tokens").cast("bigint").alias("tokens"), F.md5(pairs.kept_tokens(t, F.col("tokens"))).alias("rebuilt"))
+    t, n = F.col("text"), F.length("text")
+    count = F.floor(n / 5).cast("int")
+    own = documents(spark, d).select("doc_id", "text").withColumn("mask", F.substring(F.expr("repeat('11101111111', CAST(length(text) / 11 AS INT) + 1)"), F.lit(1), n))
+    own = own.withColumn("starts", F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")), lambda i: i * 5))
+    own = own.withColumn("ends", F.transform("starts", lambda s: s + 5)).withColumn("scores", F.transform("starts", lambda s: (s % 3).cast("double")))
+    labels = pairs.token_labels("starts", "ends", "mask", n)
+    rebuilt = pairs.kept_tokens(t, "starts", "ends", "scores", F.lit(0.0))
+    done = own.select("doc_id", labels.alias("labels"), F.size("starts").cast("bigint").alias("tokens"), F.md5(rebuilt).alias("rebuilt"))
+    return done.select("doc_id", F.aggregate("labels", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("kept"), "tokens", "rebuilt")
 
 
 @query(
-    f"""WITH w AS (SELECT doc_id, list_transform({_WORDS}, lambda x: length(x)) AS ids FROM documents), p AS (SELECT doc_id, list_slice(ids, 1, 10) AS prompt, list_slice(ids, 11, 60) AS target FROM w),
+    f"""WITH w AS (SELECT doc_id, list_transform({_WORDS}, lambda x: length(x)) AS ids FROM documents), p AS (SELECT doc_id, list_slice(ids, 1, 10) AS prompt, list_slice(ids, 11, len(ids)) AS target FROM w),
     e AS (SELECT doc_id, list_concat(prompt, target) AS ids, list_concat(list_transform(prompt, lambda x: -100), target) AS labels FROM p), l AS (SELECT doc_id, list_slice(ids, -40, -1) AS ids, list_slice(labels, -40, -1) AS labels FROM e)
     SELECT doc_id, md5(array_to_string(ids, ',')) AS ids, CAST(len(list_filter(labels, lambda x: x <> -100)) AS BIGINT) AS supervised, md5(array_to_string(list_concat(ids, list_transform(range(48 - len(ids)), lambda i: 0)), ',')) AS padded FROM l"""
 )
@@ -222,10 +223,13 @@ def length_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id, CAST(dense_rank() OVER (ORDER BY num_samples, len(choices)) AS BIGINT) AS group_no, row_number() OVER (ORDER BY num_samples, len(choices), -length(query), id) AS place FROM doc")
 def generation_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Items by what they must be generated with (the group) and then by falling length. The evaluation items are a small table."""
-    key = ["num_samples", F.size("choices")]
-    group, place = Window.orderBy(*key), Window.orderBy(*key, F.length("query").desc(), "id")
-    return table(spark, d, "doc").select("id", F.dense_rank().over(group).cast("bigint").alias("group_no"), F.row_number().over(place).cast("bigint").alias("place"))
+    """Items by what they must be generated with (the group) and then by falling length. Both numbers are taken over range partitions."""
+    own = table(spark, d, "doc").select("id", "num_samples", F.size("choices").alias("n"), (-F.length("query")).alias("shorter"))
+    groups = ordering.global_index(own.select("num_samples", "n").distinct(), ["num_samples", "n"]).withColumnRenamed("global_index", "g")
+    placed = ordering.global_index(own, ["num_samples", "n", "shorter", "id"])
+    # nulls are equal here, as they are in an order
+    same = F.col("p.num_samples").eqNullSafe(F.col("k.num_samples")) & F.col("p.n").eqNullSafe(F.col("k.n"))
+    return placed.alias("p").join(groups.alias("k"), same).select("id", (F.col("g") + 1).alias("group_no"), (F.col("global_index") + 1).alias("place"))
 
 
 @query(f"SELECT doc_id, CAST(i % 7 AS BIGINT) AS replica, CAST(CASE WHEN i = n - 1 THEN 1 + (7 - n % 7) % 7 ELSE 1 END AS BIGINT) AS reads FROM (SELECT doc_id, {_INDEX} AS i, count(*) OVER () AS n FROM documents)")
@@ -243,7 +247,7 @@ def load_balance(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH w AS (SELECT source, doc_id, list_slice(list_transform({_WORDS}, lambda x: length(x)), 1, 12) AS ids FROM documents), g AS (SELECT source, doc_id // 8 AS grp, list(ids ORDER BY doc_id) AS a FROM w GROUP BY ALL),
+    f"""WITH w AS (SELECT source, doc_id, list_transform({_WORDS}, lambda x: length(x)) AS ids FROM documents), g AS (SELECT source, doc_id // 8 AS grp, list(ids ORDER BY doc_id) AS a FROM w GROUP BY ALL),
     f AS (SELECT source, grp, flatten(list_transform(range(len(a)), lambda i: CASE WHEN i = 0 THEN a[1] ELSE list_prepend(99, a[i + 1]) END)) AS ids FROM g) SELECT source, grp, md5(array_to_string(list_slice(ids, 1, 60), ',')) AS ids, CAST(len(list_slice(ids, 1, 60)) AS BIGINT) AS size FROM f"""
 )
 def pack_batch(spark: SparkSession, d: str) -> DataFrame:

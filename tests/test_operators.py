@@ -1,6 +1,8 @@
 import difflib
+import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -56,9 +58,61 @@ def test_keep_mask_and_dissimilarity(spark):
 
 
 def test_token_labels(spark):
-    df = spark.createDataFrame([("1101", [(0, 2), (2, 4), (1, 1), (3, 9)], 4), ("11", [(0, 1)], 4)], "m string, o array<struct<s:int,e:int>>, n int")
-    got = [r[0] for r in df.select(pairs.token_labels(F.col("o"), F.col("m"), F.col("n"))).collect()]
-    assert got == [[1, 0, -100, -100], [0]]
+    df = spark.createDataFrame([("1101", [0, 2, 1, 3], [2, 4, 1, 9], 4), ("11", [0], [1], 4), ("", [], [], 0)], "m string, s array<int>, e array<int>, n int")
+    got = [r[0] for r in df.select(pairs.token_labels("s", "e", "m", "n")).collect()]
+    assert got == [[1, 0, -100, -100], [0], []]
+
+
+def test_dissimilarity_against_brute_force(spark):
+    rng = random.Random(6)
+    made = ["".join(rng.choice("abé漢🌱 \n") for _ in range(rng.randint(0, 40))) for _ in range(80)]
+    rows = [(i, rng.choice(made), rng.choice(made)) for i in range(200)] + [(900, None, "ab"), (901, "", "")]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    for i, a, b, d in df.select("i", "a", "b", pairs.dissimilarity("a", "b").alias("d")).collect():
+        a, b = a or "", b or ""
+        assert d == len(a) + len(b) - 2 * sum((Counter(a) & Counter(b)).values())
+
+
+def test_cumulative_lengths_of_any_size(spark):
+    rng = random.Random(7)
+    rows = [(n, [rng.randint(0, 9) for _ in range(n)]) for n in (0, 1, 2, 255, 256, 257, 512, 1000)]
+    for n, x, c in spark.createDataFrame(rows, "n int, x array<bigint>").select("n", "x", packing.cumulative_lengths(F.col("x")).alias("c")).collect():
+        assert c == [sum(x[:i]) for i in range(n + 1)]
+
+
+def test_assignment_and_sequences_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(150):
+        n, m = rng.randint(1, 5), rng.randint(1, 5)
+        x = np.array([[rng.choice([0, 0.5, 1, rng.random()]) for _ in range(m)] for _ in range(n)])
+        got = scores.best_assignment(x)
+        y = x if n <= m else x.T
+        assert len(got) == min(n, m) and sum(x[i, j] for i, j in got) == pytest.approx(max(sum(y[i, p[i]] for i in range(len(y))) for p in itertools.permutations(range(y.shape[1]), len(y))))
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        far = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        long = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            far[i + 1][j + 1] = min(far[i][j + 1] + 1, far[i + 1][j] + 1, far[i][j] + (a[i] != b[j]))
+            long[i + 1][j + 1] = long[i][j] + 1 if a[i] == b[j] else max(long[i][j + 1], long[i + 1][j])
+        assert (scores.edit_distance(a, b), scores.common_subsequence(a, b), len(scores.union_of_subsequences(a, [b]))) == (far[-1][-1], long[-1][-1], long[-1][-1])
+    many = np.random.default_rng(1).random((25, 30))
+    assert len(scores.best_assignment(many)) == 25  # where trying all subsets would not end
+
+
+def test_reading_scores():
+    score = scores.spans_score
+    assert score(["The 7 dogs"], ["7 dogs"]) == (1.0, 1.0)
+    assert score(["7 dogs"], ["8 dogs"]) == (0.0, 0.0)  # another number
+    assert score(["7.0"], ["7"]) == (1.0, 1.0)
+    assert score(["red house", "blue door"], ["blue door"]) == (0.0, 0.5)
+    assert score(["red house", "blue door"], ["blue door", "a red house"]) == (1.0, 1.0)
+    assert score([], []) == (1.0, 0.0) and score(["x"], []) == (0.0, 0.0)
+
+
+def test_summary_f1(spark):
+    df = spark.createDataFrame([("a b c\nd e", "a c\ne d", 1), ("a b", "a b", 2), ("", "", 3), (None, "x", 4)], "g string, p string, i int")
+    got = {i: f for f, i in df.select(scores.summary_f1("g", "p"), "i").collect()}
+    assert got == {1: pytest.approx(2 * 3 / 9), 2: 1.0, 3: 0.0, 4: 0.0}
 
 
 def test_causal_example(spark):
