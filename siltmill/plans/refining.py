@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, models, ordering, programs
+from ..operators import chunking, models, ordering, pipelines, programs
 from ..sources.tables import spread, table
 from .registry import query
 
@@ -235,6 +235,66 @@ def gather_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.gather(once, key, "chunk_index", "body").select(*key, "parts", F.md5("joined").alias("joined"))
 
 
+_SPANS = f"""WITH RECURSIVE l AS (SELECT doc_id, list_transform(range(len(a)), lambda i: greatest(1, (length('[' || CASE WHEN i < 1000 THEN lpad(CAST(i AS VARCHAR), 3, '0') ELSE CAST(i AS VARCHAR) END || ']' || a[i + 1]) + 3) // 4)) AS t FROM (SELECT doc_id, string_split({TEXT}, chr(10)) AS a FROM documents)),
+    f AS (SELECT doc_id, t, 1 AS n, t[1] AS tok, CAST(0 AS BIGINT) AS chunk FROM l
+      UNION ALL SELECT doc_id, t, n + 1, CASE WHEN tok + t[n + 1] <= 200 AND tok <= 200 THEN tok + t[n + 1] ELSE t[n + 1] END, CASE WHEN tok + t[n + 1] <= 200 AND tok <= 200 THEN chunk ELSE chunk + 1 END FROM f WHERE n < len(t)),
+    c AS (SELECT doc_id, n - 1 AS i, chunk FROM f)"""
+
+
+@query(
+    f"""{_SPANS}, x AS (SELECT doc_id, text, i, line, chunk FROM (SELECT doc_id, {TEXT} AS text, unnest(string_split({TEXT}, chr(10))) AS line, unnest(range(len(string_split({TEXT}, chr(10))))) AS i FROM documents) JOIN c USING (doc_id, i)),
+    m AS (SELECT *, (trim(line, ' ') <> '' AND row_number() OVER (PARTITION BY doc_id, chunk, line ORDER BY i) > 1) OR regexp_full_match(line, 'https?://[^ ]*') AS gone FROM x),
+    b AS (SELECT doc_id, count(*) FILTER (d) AS k FROM (SELECT doc_id, chunk, bool_or(contains(line, '  ')) AS d FROM x GROUP BY ALL) GROUP BY doc_id),
+    e AS (SELECT doc_id, any_value(text) AS text, max(chunk) + 1 AS chunks, count(*) FILTER (gone) AS removed, coalesce(string_agg(list_reduce(list_prepend(line, list_transform(range(k), lambda z: '')), lambda t, z: replace(t, '  ', ' ')), chr(10) ORDER BY i) FILTER (NOT gone), '') AS edited FROM m JOIN b USING (doc_id) GROUP BY doc_id),
+    w AS (SELECT *, {WORDS('text')} AS before, {WORDS('edited')} AS after FROM e),
+    r AS (SELECT *, CASE WHEN before = 0 THEN 'empty_input' WHEN after / before <= 1 - 0.95 THEN 'dropped' WHEN after <= 10 THEN 'too_short' ELSE 'edited' END AS status FROM w)
+    SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE chunks END AS BIGINT) AS chunks, CAST(removed AS BIGINT) AS removed_lines, CAST(0 AS BIGINT) AS errors, status, md5(CASE WHEN status = 'edited' THEN edited ELSE '' END) AS refined FROM r"""
+)
+def refine_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Documents from end to end: chunks of lines, a program for each, the programs put together, executed and accepted."""
+    done = pipelines.refine_in_chunks(spread(documents(spark, d).select("doc_id", "text")), "text", budget=200)
+    return done.select("doc_id", "chunks", "removed_lines", "errors", "status", F.md5("refined").alias("refined"))
+
+
+_CUT = rf"""WITH RECURSIVE f AS (SELECT doc_id, {TEXT} AS text, 0 AS start, CAST(-1 AS BIGINT) AS chunk, '' AS piece FROM documents
+      UNION ALL SELECT doc_id, text, start + length(piece), chunk + 1, piece FROM (SELECT doc_id, text, start, chunk, CASE WHEN start + 1000 >= length(text) THEN substr(text, start + 1) WHEN contains(substr(text, start + 501, 500), chr(10)) THEN substr(text, start + 1, 500 + length(regexp_extract(substr(text, start + 501, 500), '(?s)^.*\n'))) ELSE substr(text, start + 1, 1000) END AS piece FROM f WHERE start < length(text)))"""
+
+
+@query(f"{_CUT} SELECT doc_id, CAST(count(*) FILTER (chunk >= 0) AS BIGINT) AS num_chunks, md5(coalesce(string_agg(replace(piece, '  ', ' '), chr(10) || chr(10) || '### OPENROUTER_CHUNK_PROGRAM ###' || chr(10) || chr(10) ORDER BY chunk) FILTER (chunk >= 0), '')) AS delimited FROM f GROUP BY doc_id")
+def rewrite_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written anew in chunks of characters, the outputs in one string with separators."""
+    done = pipelines.rewrite_in_chunks(spread(documents(spark, d).select("doc_id", "text")), "text")
+    return done.select("doc_id", "num_chunks", F.md5("programs_delimited").alias("delimited"))
+
+
+@query(f"{_CUT} SELECT doc_id, md5(coalesce(string_agg(replace(piece, '  ', ' '), '' ORDER BY chunk) FILTER (chunk >= 0), '')) AS text, CAST(count(*) FILTER (length(piece) = 1000) AS BIGINT) AS stopped FROM f GROUP BY doc_id")
+def rewrite_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the outputs joined in the text's place. Chunks of the full size stand for those that stopped at the model's limit."""
+    done = pipelines.rewrite_in_chunks(spread(documents(spark, d).select("doc_id", "text")).withColumn("source", F.col("text")), "source")
+    ends = chunking.character_cuts(F.col("source"), F.lit(1_000))
+    reasons = F.transform("__ends", lambda e, i: F.when(e - F.when(i == 0, 0).otherwise(F.get("__ends", i - 1)) == 1_000, "length").otherwise("stop"))
+    done = pipelines.merge_rewrites(done, "programs").withColumn("__ends", ends).withColumn("__reasons", reasons)
+    return done.select("doc_id", F.md5("text").alias("text"), pipelines.stopped_chunks(F.col("programs"), F.col("__reasons")).alias("stopped"))
+
+
+@query(
+    f"""WITH b AS (SELECT source_parquet, source_row_index, list(body ORDER BY chunk_index) AS bodies FROM (SELECT source_parquet, source_row_index, chunk_index, coalesce(arg_min(coalesce(chunk_body, ''), chunk_id), '') AS body FROM denoise_dataset GROUP BY ALL) GROUP BY ALL)
+    SELECT count(*) AS documents, CAST(count(*) FILTER (len(bodies) = len(programs) AND trim(array_to_string(programs, ''), ' ') <> '' AND bodies <> programs) AS BIGINT) AS changed, CAST(count(*) FILTER (trim(array_to_string(programs, ''), ' ') = '') AS BIGINT) AS dropped, CAST(count(*) FILTER (len(bodies) <> len(programs)) AS BIGINT) AS mismatched FROM b JOIN ({_OUTPUTS}) USING (source_parquet, source_row_index)"""
+)
+def pair_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many source rows changed, came out empty, or have another number of outputs than chunks."""
+    key = ["source_parquet", "source_row_index"]
+    once = table(spark, d, "denoise_dataset").groupBy(*key, "chunk_index").agg(F.min_by(T.filled(F.col("chunk_body")), "chunk_id").alias("body"))
+    bodies = once.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "body"))), lambda x: x["body"]).alias("bodies"))
+    return pipelines.pair_counts(bodies.join(distinct_outputs(spark, d), key), F.col("bodies"), F.col("programs"))
+
+
+@query("SELECT source_parquet, source_row_index, count(*) AS rows, min(chunk_index) <> 0 OR max(chunk_index) <> count(*) - 1 OR count(DISTINCT chunk_index) <> count(*) AS has_gaps FROM denoise_dataset GROUP BY ALL")
+def chunk_order(spark: SparkSession, d: str) -> DataFrame:
+    """Source rows whose chunks are not there once each."""
+    return pipelines.in_order(table(spark, d, "denoise_dataset"), ["source_parquet", "source_row_index"], "chunk_index")
+
+
 _SEP = "chr(10) || chr(10) || '### OPENROUTER_CHUNK_PROGRAM ###' || chr(10) || chr(10)"
 
 
