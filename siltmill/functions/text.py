@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
+from pyspark.sql import DataFrame as DataFrame_
 from pyspark.sql import functions as F
 
 #: Fixed value: what stands between the outputs of a row's chunks in one string.
@@ -111,9 +112,72 @@ def final_number(text: Column) -> Column:
     return F.when(found == "", "[invalid]").otherwise(F.replace(F.trim(found), F.lit(","), F.lit("")))
 
 
-def without_tags(text: Column, start: str, end: str) -> Column:
-    """The text without the stretches between the two tags, tags included."""
-    return F.regexp_replace(text, f"(?s){quoted(start)}.*?{quoted(end)}", "")
+def without_tags(text: Column, *pairs: tuple[str, str]) -> Column:
+    """The text without the stretches between the tags of each pair, tags included. The first start tag that no end tag follows ends the pair's turn; what
+    stands before it, such as an end tag of nothing, stays."""
+    for start, end in pairs:
+        text = F.regexp_replace(text, f"(?s){quoted(start)}.*?{quoted(end)}", "")
+    return text
+
+
+def token_budget(characters: Column, per_token: float) -> Column:
+    """Tokens that a number of characters is expected to give."""
+    if per_token <= 0:
+        raise ValueError("characters per token must be above 0")
+    return F.floor(characters / F.lit(float(per_token))).cast("bigint")
+
+
+def spaced_stops(text: Column) -> Column:
+    """A stop between blanks ends its line."""
+    return F.replace(text, F.lit(" . "), F.lit(".\n"))
+
+
+def without_braces(text: Column, strip: bool = False) -> Column:
+    """The text without an opening brace at its start and a closing one at its end; with strip, without outer blanks first."""
+    text = F.regexp_replace(text, f"^{WHITE_SPACE}|{WHITE_SPACE}$", "") if strip else text
+    return F.regexp_replace(F.regexp_replace(text, r"\A\{", ""), r"\}\z", "")
+
+
+#: Articles by language.
+ARTICLES = {
+    "en": "a|an|the",
+    "es": "el|la|los|las|un|una|unos|unas",
+    "pt": "o|a|os|as|um|uma|uns|umas",
+    "it": "il|lo|la|i|gli|le|un|uno|una",
+    "fr": "le|la|les|l'|un|une|des",
+    "de": "der|die|das|den|dem|des|ein|eine|einer|eines|einem|einen",
+    "fi": "se|yksi|yks",
+    "el": "ὁ|οἱ|τοῦ|τῶν|τόν|τούς|ὦ|ἡ|αἱ|τῆς|τῶν|τήν|τάς|τό|τά|τοῦ|τῶν|τό|τά",
+    "no": "en|ei|et|den|det|de",
+    "sv": "en|ett|den|det|de",
+    "tr": "bir",
+    "nl": "de|het|een",
+    "hu": "a|az|egy",
+    "ca": "el|la|els|les|un|una|uns|unes",
+    "he": "ה",
+    "gl": "o|a|os|as|un|unha|uns|unhas",
+}
+
+
+def without_articles(text: Column, language: str) -> Column:
+    """The articles of the language as blanks; of a language without a list nothing goes."""
+    return F.regexp_replace(text, rf"(?U)\b({ARTICLES[language]})\b", " ") if language in ARTICLES else text
+
+
+def answer_normal(text: Column, language: str, lower: bool = True) -> Column:
+    """An answer without articles and punctuation of any script, in small letters, single blanks between words."""
+    bare = F.regexp_replace(without_articles(text, language), r"[\p{P}$+<=>^`|~]", "")
+    return F.array_join(words(F.lower(bare) if lower else bare), " ")
+
+
+def output_text(row: DataFrame_, is_code: bool = False) -> Column:
+    """Text of an output row: the first of text, programs_delimited and raw_content that is not blank, else the programs joined, else the row as JSON.
+    For code the programs come first."""
+    has = set(row.columns)
+    single = [F.col(c) for c in ("text", "programs_delimited", "raw_content") if c in has]
+    joined = F.array_join("programs", "\n\n") if "programs" in has else F.lit("")
+    order = [joined, *single] if is_code else [*single, joined]
+    return F.coalesce(*(F.when(F.trim(c) != "", c) for c in order), F.to_json(F.struct(*row.columns)))
 
 
 def joined_chat_content(content: Column) -> Column:

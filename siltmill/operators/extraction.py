@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import string
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
 from ..functions.text import words
-from .scores import NUMBER, ngrams, shared_ngrams
+from .scores import BOXED, NUMBER, ngrams, shared_ngrams
 
 
 def output_blocks(transcript: Column) -> Column:
@@ -33,25 +35,77 @@ def ground_truth(answer: Column, form: str) -> Column:
         return F.upper(F.regexp_extract(answer, r"\(?\s*([A-Za-z])\s*\)?", 1))
     if form == "number":
         return F.replace(F.regexp_extract(answer, NUMBER, 0), F.lit(","), F.lit(""))
+    if form == "boxed":  # the last answer box of a worked solution
+        boxed = F.regexp_extract_all(answer, F.lit(BOXED), 1)
+        return F.coalesce(F.element_at(F.when(F.size(boxed) > 0, boxed), -1), F.lit(""))
+    if form == "bracketed_number":  # a number followed by its unit in brackets
+        return F.replace(F.regexp_replace(F.trim(answer), r"\s*\([^()]*\)$", ""), F.lit(","), F.lit(""))
+    if form == "index":  # the index of an option
+        return F.char(answer.cast("int") + 65)
+    if form == "truth":
+        return F.when(F.lower(F.trim(answer)).isin("true", "1", "yes"), "True").otherwise("False")
     if form == "plain":
         return F.trim(answer)
     raise ValueError(f"unknown form {form!r}")
 
 
+#: Fixed value: what stands between a question and its options where an explanation is wanted.
+EXPLAINED = "\nWhat of the following is the right choice? Explain your answer.\n"
+
+
+def _bracketed(options: Column, letters: str) -> Column:
+    """Options in one string, 'A) first B) second', with their letters in brackets."""
+    for letter in letters:
+        options = F.replace(options, F.lit(f" {letter}) "), F.lit(f" ({letter}) "))
+    return F.concat(F.lit("("), options)
+
+
+def _listed_options(options: Column, letters: str = "abcde") -> Column:
+    """Options in one string, 'a ) first , b ) second', or a list of such strings written as JSON or with single quotes; nothing in it is ever evaluated."""
+    json = F.regexp_replace(F.regexp_replace(F.regexp_replace(options, r"^\[ *'", '["'), r"' *\]$", '"]'), "' *, *'", '", "')
+    text = F.when(F.startswith(options, F.lit("[")), F.array_join(F.from_json(json, "array<string>"), ", ")).otherwise(options)
+    for letter in letters:
+        text = F.replace(F.replace(text, F.lit(f"{letter} ) {letter} ) "), F.lit(f"{letter} ) ")), F.lit(f"{letter} ) "), F.lit(f"({letter.upper()}) "))
+    return F.replace(text, F.lit(" , "), F.lit(", "))
+
+
 def question(row: dict[str, Column], form: str) -> Column:
     """The question put together from a row's columns by the form of its data set; nothing in the row is ever evaluated."""
     if form == "body":
         return F.concat_ws(" ", F.trim(row["body"]), F.trim(row["question"]))
+    if form == "stopped_body":  # the body ends with a stop
+        body = F.trim(row["body"])
+        return F.concat(F.when(F.endswith(body, F.lit(".")), body).otherwise(F.concat(body, F.lit("."))), F.lit(" "), F.trim(row["question"]))
     if form == "options":
         listed = F.array_join(F.transform(row["options"], lambda o, i: F.concat(F.lit("("), F.char(i + 65), F.lit(") "), o)), " ")
         return F.concat(F.trim(row["question"]), F.lit("\nAnswer Choices: "), listed)
+    if form == "explained_options":
+        listed = F.array_join(F.transform(row["options"], lambda o, i: F.concat(F.lit("("), F.char(i + 65), F.lit(") "), F.trim(o))), ", ")
+        return F.concat(F.trim(row["question"]), F.lit(EXPLAINED), listed)
+    if form == "option_string":  # A) first B) second
+        return F.concat(F.trim(row["question"]), F.lit(EXPLAINED), F.trim(_bracketed(F.trim(row["options"]), "BCD")))
+    if form == "option_list":  # a ) first , b ) second
+        problem = F.trim(row["question"])
+        return F.concat(F.upper(F.substring(problem, 1, 1)), F.substring(problem, 2, 1_000_000_000), F.lit(EXPLAINED), F.trim(_listed_options(F.trim(row["options"]))))
     if form == "table":
-        return F.concat(F.lit("Read the following table"), F.when(row["title"] != "", F.concat(F.lit(' regarding "'), row["title"], F.lit('"'))).otherwise(""), F.lit(" and then answer a question.\n"), row["table"], F.lit("\n"), row["question"])
+        asked = F.concat(F.lit("Read the following table "), F.when(row["title"] != "", F.concat(F.lit('regarding "'), row["title"], F.lit('" '))).otherwise(""), F.lit("and answer a question:\n"), row["table"], F.lit("\n"), row["question"])
+        choices = row.get("options")
+        return asked if choices is None else F.when(F.size(choices) > 0, F.concat(asked, F.lit(" Please select from the following options: "), F.to_json(choices))).otherwise(asked)
+    if form == "theorem":
+        return F.concat(F.trim(row["question"]), F.lit("\nTheorem: "), F.trim(row["theorem"]))
+    if form == "first":  # the first column of several that has something
+        return F.trim(F.coalesce(*(F.when(F.trim(c) != "", c) for c in row.values()), F.lit("")))
     if form == "plain":
         return F.trim(row["question"])
     raise ValueError(f"unknown form {form!r}")
 
 
+def closed_question(asked: Column, truth: Column) -> Column:
+    """The question with its two answers named, where the truth is one of such a pair."""
+    bare = F.lower(F.trim(truth))
+    return F.trim(F.concat(asked, F.when(bare.isin("true", "false"), " (True or False)").when(bare.isin("yes", "no"), " (Yes or No)").otherwise("")))
+
+
 def first_match(text: Column, patterns: list[str]) -> Column:
     """The last match of the first pattern that matches at all (its first group), else the empty string."""
     out = F.lit("")
@@ -68,7 +122,7 @@ _SLASHED = re.compile(r"(?<![\w/])(-?\d+)/(\d+)(?![\w/])")
 
 def plain_latex(text: str) -> str:
     """One spelling of a short mathematical answer: no delimiters, spacing, units or degree signs; fractions and roots with braces."""
-    out = text.strip().strip("$").replace("\\!", "").replace("\\,", "").replace("\\ ", "").replace("\\left", "").replace("\\right", "").replace("\\$", "").replace("\\%", "").replace("%", "")
+    out = text.strip().rstrip(".").strip("$").replace("\\!", "").replace("\\,", "").replace("\\ ", "").replace("\\left", "").replace("\\right", "").replace("\\$", "").replace("\\%", "").replace("%", "")
     out = re.sub(r"\^\{?\\circ\}?", "", out).replace("dfrac", "frac").replace("tfrac", "frac")
     out = _UNITS.sub("", out)
     out = re.sub(r"\\(?:text|mbox|mathrm)\{([^{}]*)\}", r"\1", out)
@@ -123,12 +177,19 @@ def extractive_statistics(df: DataFrame, key: str, source: str, summary: str) ->
 
 
 def numbered_text(lines: Column, tokens: Column, most: int) -> Column:
-    """Labelled lines joined until the token sum would pass the limit; that line is cut to the tokens left (four characters each)."""
-    lines, tokens = F.slice(lines, 1, most), F.slice(tokens, 1, most)  # each line has a token at least
-    before = F.transform(tokens, lambda _, i: F.aggregate(F.slice(tokens, 1, i), F.lit(0).cast("bigint"), lambda a, b: a + b))
-    rows = F.zip_with(F.zip_with(lines, tokens, lambda x, t: F.struct(x.alias("x"), t.alias("t"))), before, lambda r, b: F.struct(r["x"].alias("x"), r["t"].alias("t"), b.alias("b")))
-    kept = F.filter(rows, lambda r: r["b"] < most)
-    return F.array_join(F.transform(kept, lambda r: F.when(r["b"] + r["t"] <= most, r["x"]).otherwise(F.substring(r["x"], F.lit(1), ((most - r["b"]) * 4).cast("int")))), "\n")
+    """Labelled lines joined until the token sum would pass the limit; that line is cut to the tokens left (four characters each).
+
+    The sums are carried along in one pass; lines behind the limit are not looked at, as each has a token at least.
+    """
+    rows = F.zip_with(F.slice(lines, 1, most), F.slice(tokens, 1, most), lambda x, t: F.struct(x.alias("x"), t.cast("bigint").alias("t")))
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).cast("bigint").alias("sum"))
+
+    def add(s: Column, r: Column) -> Column:
+        left = most - s["sum"]
+        line = F.when(r["t"] <= left, r["x"]).otherwise(F.substring(r["x"], F.lit(1), (left * 4).cast("int")))
+        return F.struct(F.when(left > 0, F.concat(s["kept"], F.array(line))).otherwise(s["kept"]).alias("kept"), (s["sum"] + r["t"]).alias("sum"))
+
+    return F.array_join(F.aggregate(rows, start, add, lambda s: s["kept"]), "\n")
 
 
 def corpus_bleu(pairs: DataFrame, gold: str, prediction: str, orders: int = 4) -> DataFrame:
@@ -144,6 +205,56 @@ def corpus_bleu(pairs: DataFrame, gold: str, prediction: str, orders: int = 4) -
     return total.select("gold_words", "words", F.when(none, 0.0).otherwise(100 * penalty * F.exp(mean)).alias("bleu"))
 
 
+def _character_statistics(gold: str, prediction: str, characters: int, words_: int) -> list[int]:
+    """For each order of n-grams (of characters without white space, then of words and punctuation) those of the prediction, of the gold, and shared."""
+    a, b = ("".join(x.split()) for x in (gold, prediction))
+    out: list[int] = []
+
+    def add(x, y, n: int) -> None:
+        p, q = (Counter(tuple(z[i : i + n]) for i in range(len(z) - n + 1)) for z in (y, x))
+        out.extend((p.total(), q.total(), (p & q).total()))
+
+    for n in range(1, characters + 1):
+        add(a, b, n)
+    if words_:
+        x, y = (_split_punctuation(t) for t in (gold, prediction))
+        for n in range(1, words_ + 1):
+            add(x, y, n)
+    return out
+
+
+def _split_punctuation(text: str) -> list[str]:
+    """Words, with one punctuation mark at their end, else at their start, as a word of its own."""
+    out = []
+    for w in text.split():
+        if len(w) > 1 and w[-1] in string.punctuation:
+            out += [w[:-1], w[-1]]
+        elif len(w) > 1 and w[0] in string.punctuation:
+            out += [w[0], w[1:]]
+        else:
+            out.append(w)
+    return out
+
+
+def corpus_chrf(pairs: DataFrame, gold: str, prediction: str, characters: int = 6, words_: int = 0, beta: float = 2.0) -> DataFrame:
+    """Character n-gram F-score of a corpus (words_=2 for chrF++), from 0 to 100: counts of each order are summed over all rows; precision and recall are
+    means over the orders that both sides have. Nothing but the sums is gathered."""
+    orders = characters + words_
+
+    @F.pandas_udf(K.ArrayType(K.LongType()))
+    def statistics(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_character_statistics(x or "", y or "", characters, words_) for x, y in zip(a, b)])
+
+    counted = pairs.select(statistics(gold, prediction).alias("s"))
+    sums = counted.agg(F.count("*").alias("rows"), *(F.coalesce(F.sum(F.get("s", F.lit(i))), F.lit(0)).alias(f"s{i}") for i in range(3 * orders)))
+    have = [(F.col(f"s{3 * n}") > 0) & (F.col(f"s{3 * n + 1}") > 0) for n in range(orders)]
+    used = sum((h.cast("int") for h in have), F.lit(0))
+    mean = lambda k: F.coalesce(F.try_divide(sum((F.when(have[n], F.col(f"s{3 * n + 2}") / F.col(f"s{3 * n + k}")).otherwise(0.0) for n in range(orders)), F.lit(0.0)), used.cast("double")), F.lit(0.0))
+    done = sums.select("rows", mean(0).alias("precision"), mean(1).alias("recall"))
+    score = F.try_divide((1 + beta**2) * F.col("precision") * F.col("recall"), beta**2 * F.col("precision") + F.col("recall"))
+    return done.select("rows", "precision", "recall", (100 * F.coalesce(score, F.lit(0.0))).alias("chrf"))
+
+
 def class_f1(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     """F1 of each class against the rest, and their plain and weighted means."""
     pairs = rows.groupBy(truth, guess).agg(F.count("*").alias("n"))

@@ -78,3 +78,9 @@ def first_by(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """One row of each key, the first in the order. Partial results are merged, so a hot key is no sort in one task."""
     rest = [c for c in df.columns if c not in key]
     return df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__row")).select(*key, "__row.*").select(*df.columns)
+
+
+def last_by(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """One row of each key, the last in the order."""
+    rest = [c for c in df.columns if c not in key]
+    return df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__row")).select(*key, "__row.*").select(*df.columns)

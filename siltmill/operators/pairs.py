@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
+from ..functions.text import filled, without_separators
+
 IGNORED = -100
 
 
@@ -95,6 +97,38 @@ def keep_masks(df: DataFrame, key: str, reference: str, output: str) -> DataFram
     return df.select(F.col(key).alias("key"), reference, output).mapInArrow(run, f"key {kind}, chars bigint, mask string").withColumnRenamed("key", key)
 
 
+@F.pandas_udf(K.StringType())
+def keep_mask_of(reference: pd.Series, output: pd.Series) -> pd.Series:
+    """character_keep_mask of two columns; null is empty."""
+    return pd.Series([character_keep_mask(x or "", y or "") for x, y in zip(reference, output)], dtype=object)
+
+
+def mask_pairs(df: DataFrame, key: list[str], inputs: str, output: str) -> DataFrame:
+    """key, text and target of the documents that are one chunk: the target has for each character of the chunk 1 if it is in the output, else 0.
+
+    The output's separators go before it is compared, so of documents of several chunks none can be paired; they are left out.
+    """
+    single = df.where(F.size(inputs) == 1).select(*key, filled(F.get(F.col(inputs), F.lit(0))).alias("text"), without_separators(filled(F.col(output))).alias("__output"))
+    return single.select(*key, "text", keep_mask_of("text", "__output").alias("target"))
+
+
+def tokenised(df: DataFrame, text: str, encode: Callable[[list[str]], list[list[int]]], end: int, begin: int | None = None, name: str = "ids") -> DataFrame:
+    """The rows with something in `text`, with `name` in its place: the tokenizer's ids without a leading begin token, and the end token behind them.
+
+    encode takes the texts of an Arrow batch. Null and empty texts are skipped. Rows pass through Arrow as they are; nothing is shuffled.
+    """
+    rest = [c for c in df.columns if c != text]
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [[*(x[1:] if begin is not None and x and x[0] == begin else x), end] for x in encode(b.column(len(rest)).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(made, pa.list_(pa.int32()))], [*rest, name])
+
+    own = df.where(F.col(text) != "").select(*rest, text)
+    return own.mapInArrow(run, f"{kinds}, `{name}` array<int>")
+
+
 @F.pandas_udf(K.ArrayType(K.StructType([K.StructField("tag", K.StringType()), *(K.StructField(x, K.IntegerType()) for x in ("a1", "a2", "b1", "b2"))])))
 def inline_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     """The steps from one string to the other."""

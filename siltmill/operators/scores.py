@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
 from ..functions.text import words
+from .sampling import hash_share
 
 
 def golds(choices: Column, gold_index: Column) -> Column:
@@ -398,7 +399,7 @@ def bootstrap_error(scores: DataFrame, key: list[str], score: str, turns: int, s
     #: The cumulative chances of 0, 1, 2, ... draws of a Poisson variable of mean 1.
     edges = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
     rows = scores.select(*key, score, F.explode(F.sequence(F.lit(1), F.lit(turns))).alias("turn"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "turn", *key), F.lit(1_000_003)) / 1_000_003
+    u = hash_share(seed, F.col("turn"), *map(F.col, key))
     draws = sum((F.when(u >= e, 1).otherwise(0) for e in edges), F.lit(0))
     means = rows.withColumn("_d", draws).groupBy("turn").agg((F.sum(F.col(score) * F.col("_d")) / F.sum("_d")).alias("mean"))
     return means.agg(F.stddev_samp("mean").alias("stderr"), F.count("*").alias("turns"))
@@ -426,3 +427,95 @@ def preferred(df: DataFrame, key: list[str], name: str, value: str, order: list[
     """Of each key the row whose name comes first in the order; names not in it come after, alphabetically."""
     place = F.coalesce(F.nullif(F.array_position(F.lit(order), F.col(name)), F.lit(0)), F.lit(len(order) + 1))
     return df.groupBy(*key).agg(F.min_by(F.struct(name, value), F.struct(place, name)).alias("_b")).select(*key, f"_b.{name}", f"_b.{value}")
+
+
+def _number(text: str) -> float | None:
+    """A number with separators or a percent sign."""
+    bare = text.strip().replace(",", "")
+    try:
+        return float(bare.rstrip("%").rstrip("\\")) / 100 if bare.endswith("%") else float(bare)
+    except ValueError:
+        return None
+
+
+def _parts(text: str) -> list[list[str]] | None:
+    """Rows of a matrix, or the one row of a list or tuple, as strings; None where the text is neither."""
+    for name in ("pmatrix", "bmatrix"):
+        a, b = f"\\begin{{{name}}}", f"\\end{{{name}}}"
+        if text.startswith(a) and text.endswith(b):
+            return [[x.strip() for x in row.split("&")] for row in text[len(a) : -len(b)].split("\\\\") if row.strip()]
+    if len(text) > 2 and text[0] in "([" and text[-1] in ")]":
+        return [[x.strip() for x in text[1:-1].split(",")]]
+    return None
+
+
+def answers_equal(prediction: str, truth: str, tolerance: float = 1e-4) -> bool:
+    """Whether two answers are equal as texts, as numbers (also up to a factor of 100), entry by entry as tuples or matrices, or as the right side of an
+    equation for a short name. Formulas are not transformed."""
+    p, t = prediction.strip(), truth.strip()
+    if p == t:
+        return True
+    x, y = _number(p), _number(t)
+    if x is not None and y is not None:
+        return any(math.isclose(z, x, rel_tol=tolerance) for z in (y / 100, y, y * 100))
+    if not p:
+        return False
+    bare = lambda z: re.sub(r"[(){}\[\]]", "", z).lower()
+    if bare(p) == bare(t):
+        return True
+    a, b = _parts(p), _parts(t)
+    if a is not None and b is not None:
+        if [len(r) for r in a] == [len(r) for r in b] and all(answers_equal(u, v, tolerance) for r, s in zip(a, b) for u, v in zip(r, s)):
+            return True
+    sides = p.split("="), t.split("=")
+    if all(len(s) == 2 for s in sides):
+        (pl, pr), (tl, tr) = sides
+        return answers_equal(pl, tl, tolerance) and answers_equal(pr, tr, tolerance) or answers_equal(pl, tr, tolerance) and answers_equal(pr, tl, tolerance)
+    for own, other in (sides, sides[::-1]):
+        if len(own) == 2 and len(own[0].strip()) <= 2 and len(other) == 1:
+            return answers_equal(own[1], other[0], tolerance)
+    return False
+
+
+@F.pandas_udf(K.BooleanType())
+def math_equal(truth: pd.Series, prediction: pd.Series) -> pd.Series:
+    """answers_equal of two columns; null is the empty text."""
+    return pd.Series([answers_equal(p or "", t or "") for t, p in zip(truth, prediction)])
+
+
+def token_entropy(rows: DataFrame, key: str, logprobs: str) -> DataFrame:
+    """Mean negative log-probability, mean of the entropy's terms -p log p, and the number of positions, by key. Summed by row before anything is grouped."""
+    add = lambda f: F.aggregate(F.transform(logprobs, f), F.lit(0.0), lambda a, b: a + b)
+    own = rows.select(key, add(lambda x: -x).alias("a"), add(lambda x: -x * F.exp(x)).alias("b"), F.size(logprobs).alias("n"))
+    n = F.sum("n")
+    return own.groupBy(key).agg((F.sum("a") / n).alias("cross_entropy"), (F.sum("b") / n).alias("entropy_terms"), n.alias("positions"))
+
+
+#: Scores by name: which rows have what they need, and the score of a row with golds, text, logprobs, choices and gold_index.
+REGISTRY = {
+    "acc": ("logprobs IS NOT NULL AND size(logprobs) = size(choices)", lambda: choice_accuracy(F.col("logprobs"), F.col("gold_index"))),
+    "acc_char": ("logprobs IS NOT NULL AND size(logprobs) = size(choices)", lambda: choice_accuracy(by_characters(F.col("logprobs"), F.col("choices")), F.col("gold_index"))),
+    "mrr": ("logprobs IS NOT NULL AND size(logprobs) = size(choices)", lambda: reciprocal_rank(F.col("logprobs"), F.col("gold_index"))),
+    "probability": ("logprobs IS NOT NULL AND size(logprobs) = size(choices)", lambda: gold_probability(F.col("logprobs"), F.col("gold_index"))),
+    "em": ("text IS NOT NULL AND size(text) > 0", lambda: best_pair(F.col("golds"), F.col("text"), exact_match)),
+    "prefix_em": ("text IS NOT NULL AND size(text) > 0", lambda: best_pair(F.col("golds"), F.col("text"), lambda a, b: exact_match(a, b, "prefix"))),
+    "suffix_em": ("text IS NOT NULL AND size(text) > 0", lambda: best_pair(F.col("golds"), F.col("text"), lambda a, b: exact_match(a, b, "suffix"))),
+    "f1": ("text IS NOT NULL AND size(text) > 0", lambda: best_pair(F.col("golds"), F.col("text"), bag_f1)),
+    "rouge1": ("text IS NOT NULL AND size(text) > 0", lambda: best_pair(F.col("golds"), F.col("text"), lambda a, b: rouge_n(a, b, 1))),
+    "rouge2": ("text IS NOT NULL AND size(text) > 0", lambda: best_pair(F.col("golds"), F.col("text"), lambda a, b: rouge_n(a, b, 2))),
+    "number": ("text IS NOT NULL AND size(text) > 0", lambda: best_pair(F.col("golds"), F.col("text"), lambda a, b: numbers_equal(a, b).cast("int"))),
+}
+
+
+def run_scores(rows: DataFrame, names: list[str], by: list[str]) -> DataFrame:
+    """score, the columns in `by`, value (the mean) and samples, for the scores of these names. The rows are read once for each score."""
+    unknown = set(names) - set(REGISTRY)
+    if unknown:
+        raise ValueError(f"unknown scores: {', '.join(sorted(unknown))}")
+    out = None
+    for name in names:
+        needed, score = REGISTRY[name]
+        own = rows.where(needed).withColumn("__s", score().cast("double")).where("__s IS NOT NULL").groupBy(*by).agg(F.avg("__s").alias("value"), F.count("*").alias("samples"))
+        own = own.select(F.lit(name).alias("score"), *by, "value", "samples")
+        out = own if out is None else out.unionByName(own)
+    return out

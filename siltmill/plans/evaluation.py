@@ -161,9 +161,16 @@ def mean_stderr(spark: SparkSession, d: str) -> DataFrame:
     return means.select("model", "task_name", F.round("mean", 6).alias("mean"), F.round("stderr", 6).alias("stderr"), "samples", "highest", "lowest")
 
 
-@query()
+_EDGES = "[0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]"
+
+
+@query(
+    _ACC
+    + f""", u AS (SELECT acc, turn, CAST(('0x' || substr(sha256('11:' || turn || ':' || id || ':' || model), 1, 12)) AS BIGINT) / 281474976710656.0 AS u FROM c, (SELECT unnest(range(1, 201)) AS turn)),
+    m AS (SELECT turn, sum(acc * len(list_filter({_EDGES}, lambda e: u >= e))) / sum(len(list_filter({_EDGES}, lambda e: u >= e))) AS mean FROM u GROUP BY turn) SELECT round(stddev_samp(mean), 6) AS stderr, count(*) AS turns FROM m"""
+)
 def bootstrap_stderr(spark: SparkSession, d: str) -> DataFrame:
-    return scores.bootstrap_error(accuracies(spark, d), ["id", "model"], "acc", 200, 11)
+    return scores.bootstrap_error(accuracies(spark, d), ["id", "model"], "acc", 200, 11).select(F.round("stderr", 6).alias("stderr"), "turns")
 
 
 _MEANS = _ACC + ", k AS (SELECT model, task_name, avg(acc) AS v FROM c GROUP BY ALL) SELECT model, task_name, v FROM k"

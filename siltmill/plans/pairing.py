@@ -238,7 +238,12 @@ def sampler_replicas(spark: SparkSession, d: str) -> DataFrame:
     return indexed(spark, d).select("doc_id", replica.alias("replica"), reads.alias("reads"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE i AS (SELECT doc_id, length({TEXT}) AS n, {_INDEX} AS i FROM documents), o AS (SELECT CAST(i // 64 AS BIGINT) AS batch, doc_id, n, row_number() OVER (PARTITION BY i // 64 ORDER BY n DESC, doc_id) AS k FROM i),
+    f AS (SELECT DISTINCT batch, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS doc_id, CAST(-1 AS BIGINT) AS bin, [CAST(0 AS BIGINT), 0, 0, 0] AS s FROM o
+      UNION ALL SELECT batch, k, doc_id, bin, list_transform(range(4), lambda j: s[j + 1] + CASE WHEN j = bin THEN n * n ELSE 0 END) FROM (SELECT f.batch, o.k, o.doc_id, list_position(f.s, list_min(f.s)) - 1 AS bin, f.s, o.n FROM f JOIN o ON o.batch = f.batch AND o.k = f.k + 1))
+    SELECT batch, doc_id, CAST(bin AS BIGINT) AS bin FROM f WHERE k > 0"""
+)
 def load_balance(spark: SparkSession, d: str) -> DataFrame:
     """Documents of batches of 64 dealt to 4 bins with even sums of squared lengths."""
     own = indexed(spark, d).select("doc_id", F.floor(F.col("global_index") / 64).alias("batch"), F.col("chars").alias("length"))

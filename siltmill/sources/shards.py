@@ -167,3 +167,43 @@ def latest_run(results: DataFrame, key: list[str], run: str, first: bool = False
     """The rows of each key's last (or first) run; run names are ISO times and sort as such."""
     pick = F.min(run) if first else F.max(run)
     return results.join(results.groupBy(*key).agg(pick.alias(run)), [*key, run], "left_semi")
+
+
+def write_json_lines(df: DataFrame, path: str, codec: str | None = "gzip") -> None:
+    """A JSON object a line, nulls written too, in the files of a folder."""
+    df.write.mode("overwrite").option("compression", codec or "none").option("ignoreNullFields", "false").json(path)
+
+
+def write_statistics(stats: DataFrame, path: str, rank: int) -> None:
+    """The statistics of one rank's run as JSON, in its part of the folder; a run again takes its place."""
+    write_json_lines(stats.withColumn("rank", F.lit(rank)).coalesce(1), f"{path}/stats_rank={rank}", None)
+
+
+def read_statistics(spark: SparkSession, path: str, schema: K.StructType | str | None = None) -> DataFrame:
+    """The statistics of all ranks, with the rank that each file says; files may have one object over several lines."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    rows = reader.option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
+    return rows
+
+
+def write_results(results: DataFrame, path: str, task: str, run: str, run_name: str) -> None:
+    """Details of a run by task and run; results of other runs in the folder stay."""
+    own = results.withColumn(run, F.lit(run_name))
+    own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(task, run).parquet(path)
+
+
+def read_results(spark: SparkSession, path: str, task: str, run: str, first: bool = False) -> DataFrame:
+    """Details of each task's last (or first) run. Which that is comes from the folders' names; other runs' files are not read."""
+    rows = spark.read.option("basePath", path).option("inferSchema", "false").parquet(path)
+    rows = rows.withColumn(run, F.col(run).cast("string"))
+    return latest_run(rows, [task], run, first)
+
+
+def adapted(df: DataFrame, dataset: str, *limits: int) -> DataFrame:
+    """The rows as the data set's adapter makes them; of a data set without one as they are."""
+    return ADAPTERS[dataset](df, *limits) if dataset in ADAPTERS else df
+
+
+def read_adapted(spark: SparkSession, path: str | list[str], dataset: str, *limits: int, schema: K.StructType | str | None = None) -> DataFrame:
+    """JSON lines, plain or compressed, read and adapted."""
+    return adapted(read_json_lines(spark, path, schema), dataset, *limits)

@@ -204,7 +204,7 @@ def test_final_answer(spark):
 
 def test_small_texts(spark):
     df = spark.createDataFrame([("<think>a</think>b<think>c</think>", " [title] x [b]  y", "#### 1,200", "B")], "a string, b string, c string, d string")
-    r = df.select(T.without_tags(F.col("a"), "<think>", "</think>"), T.without_brackets(F.col("b")), T.final_number(F.col("c")), prompts.gold_from_letter(F.col("d"))).first()
+    r = df.select(T.without_tags(F.col("a"), ("<think>", "</think>")), T.without_brackets(F.col("b")), T.final_number(F.col("c")), prompts.gold_from_letter(F.col("d"))).first()
     assert tuple(r) == ("b", ".  x  y".replace("  x", " x"), "1200", 1)
 
 
