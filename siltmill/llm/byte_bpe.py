@@ -11,6 +11,7 @@ Results: null and empty texts give an empty list, never null. Strings of special
 from __future__ import annotations
 
 import functools
+import base64
 import json
 from collections.abc import Iterator
 
@@ -33,24 +34,45 @@ def byte_characters() -> dict[str, int]:
     return out
 
 
+def merged_vocabulary(path: str) -> tuple[dict[str, int], list[tuple[str, str]]]:
+    """Ids and merges of a JSON file, tokens as Latin-1 strings of their bytes."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    bytes_of = byte_characters()
+    latin = lambda token: "".join(chr(bytes_of[c]) for c in token)
+    ids = {latin(token): i for token, i in model["vocab"].items() if all(c in bytes_of for c in token)}
+    return ids, [tuple(map(latin, m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+
+
+def ranked_vocabulary(path: str) -> tuple[dict[str, int], list[tuple[str, str]]]:
+    """The same of a file of ranks: the merge that makes a token joins the two parts that the tokens of lower rank leave of it."""
+    with open(path, "rb") as f:
+        ids = {base64.b64decode(a).decode("latin-1"): int(b) for a, b in map(bytes.split, f)}
+    merges = []
+    for token, own in sorted(ids.items(), key=lambda x: x[1]):
+        parts = list(token)
+        while len(parts) > 2:
+            best = min(range(len(parts) - 1), key=lambda i: ids.get(parts[i] + parts[i + 1], own))
+            if ids.get(parts[best] + parts[best + 1], own) >= own:
+                break
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        if len(parts) == 2:
+            merges.append((parts[0], parts[1]))
+    return ids, merges
+
+
 class ByteBPE:
     """A vocabulary with its merges. Works with ranks (bytes first, then merges in order) and gives ids."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        bytes_of = byte_characters()
-        latin = lambda token: "".join(chr(bytes_of[c]) for c in token)
-        ids = {token: i for token, i in model["vocab"].items() if all(c in bytes_of for c in token)}
-        by_byte = {bytes_of[c]: c for c in bytes_of}
+        ids, merges = ranked_vocabulary(path) if path.endswith(".tiktoken") else merged_vocabulary(path)
         self.strings = [chr(b) for b in range(256)]
-        self.ids = [ids[by_byte[b]] for b in range(256)]
+        self.ids = [ids[chr(b)] for b in range(256)]
         self.split: list[tuple[int, int]] = [(b, b) for b in range(256)]
         self.pairs: dict[tuple[int, int], int] = {}
         rank = {chr(b): b for b in range(256)}
-        for merge in model["merges"]:
-            left, right = merge.split(" ") if isinstance(merge, str) else merge
-            a, b = rank[latin(left)], rank[latin(right)]
+        for left, right in merges:
+            a, b = rank[left], rank[right]
             token = self.strings[a] + self.strings[b]
             new = len(self.strings)
             self.pairs[a, b] = new

@@ -17,9 +17,12 @@ from .subword_trie import token_budget
 from .text_quality import not_prose, text_statistics
 from .truncation import cut_rate, score_ends
 
-#: Where the vocabulary files of the public tokenizers lie, on the driver and on every executor.
+#: Where the vocabulary files of the public tokenizers lie, on the driver and on every executor, unless spark.siltmill.tokenizers says otherwise.
 TOKENIZERS = "/opt/tokenizers"
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+
+
+def vocabulary(spark: SparkSession, name: str = "byte_bpe_50k.json") -> str:
+    return f"{spark.conf.get('spark.siltmill.tokenizers', TOKENIZERS)}/{name}"
 
 
 def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -39,7 +42,7 @@ def p1_text_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_token_budget(spark: SparkSession, d: str) -> DataFrame:
-    return token_budget(chunks(spark, d, "source_parquet", "source_row_index", "dataset_type"), table(spark, d, "crawl_rows"), BYTE_BPE)
+    return token_budget(chunks(spark, d, "source_parquet", "source_row_index", "dataset_type"), table(spark, d, "crawl_rows"), vocabulary(spark))
 
 
 def p3_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -75,11 +78,11 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode_texts(texts(spark, d), "doc_id", "text", BYTE_BPE)
+    return encode_texts(texts(spark, d), "doc_id", "text", vocabulary(spark))
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    return pack_texts(token_counts(texts(spark, d), "doc_id", "text", BYTE_BPE), table(spark, d, "pack_config"))
+    return pack_texts(token_counts(texts(spark, d), "doc_id", "text", vocabulary(spark)), table(spark, d, "pack_config"))
 
 
 def p8_fill_report(spark: SparkSession, d: str) -> DataFrame:

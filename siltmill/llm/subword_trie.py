@@ -5,7 +5,8 @@ node of what remains after the longest tokens are taken off its front, and the n
 it. Each character of a text is therefore read once, however often a greedy match would have to start again.
 
 Results: null and empty texts count zero tokens. Spellings of data set, language and host are brought together; a
-missing one is "unknown". Where a crawl row comes twice, the one that came last counts.
+missing one is "unknown". Where a crawl row comes twice, the one that came last counts. `tokens` is the budget: the
+tokens that the tokenizer itself makes. `longest_match_tokens` is what longest match over its vocabulary would make.
 """
 
 from __future__ import annotations
@@ -142,12 +143,12 @@ def token_budget(chunks: DataFrame, crawl: DataFrame, path: str) -> DataFrame:
                 longest, merged = both_counts(path, block)
                 columns = [batch.column(i).slice(begin, len(part)) for i in range(3)]
                 chars = block.text_end - block.text_start
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(chars), pa.array(longest), pa.array(merged)], [*keys, "chars", "tokens", "bpe_tokens"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(chars), pa.array(merged), pa.array(longest)], [*keys, "chars", "tokens", "longest_match_tokens"])
 
     counted = chunks.select(chunks["source_parquet"], chunks["source_row_index"], data_set_name(chunks["dataset_type"]).alias("dataset_type"), chunks["chunk_body"]).mapInArrow(
-        run, "source_parquet string, source_row_index bigint, dataset_type string, chars bigint, tokens bigint, bpe_tokens bigint"
+        run, "source_parquet string, source_row_index bigint, dataset_type string, chars bigint, tokens bigint, longest_match_tokens bigint"
     )
-    sums = [F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens"), F.sum("bpe_tokens").alias("bpe_tokens")]
+    sums = [F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens"), F.sum("longest_match_tokens").alias("longest_match_tokens")]
     by_row = counted.groupBy(*keys).agg(F.count("*").alias("chunks"), *sums)
     places = crawl.groupBy("source_parquet", "source_row_index").agg(F.max_by(F.struct("language", "url"), F.struct("ingested_at", "language_score", "id")).alias("last"))
     places = places.select("source_parquet", "source_row_index", language_code(F.col("last.language")).alias("language"), web_domain(F.col("last.url")).alias("domain"))

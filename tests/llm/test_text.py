@@ -37,6 +37,19 @@ def test_ids_are_exact(reference):
             assert ids[offsets[i] : offsets[i + 1]].tolist() == reference.encode_ordinary(t), repr(t)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
+def test_ids_of_files_of_ranks(name):
+    path = public_tokenizers.path(name)
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    bpe, made = byte_bpe.tokenizer(path), [*odd_texts(), "Il faut dire que les livres ont toujours aimé la vallée.", "昨日の夜、私たちは小さな村の図書館で古い地図を見つけました。", "Вчера вечером мы нашли карту"]
+    for _, part in blocks(made, 5_000):
+        ids, offsets = byte_bpe.encode_block(bpe, TextBlock(part))
+        for i, t in enumerate(part):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == own.encode_ordinary(t), repr(t)
+
+
 def test_ids_of_a_table(spark):
     df = spark.createDataFrame([(1, "Hello world", "x"), (2, None, "y"), (3, "", "z"), (4, "Hello world", "x")], "doc_id bigint, text string, ids string")
     got = {r["doc_id"]: r["ids"] for r in byte_bpe.encode_texts(df, "doc_id", "text", PATH).collect()}
@@ -67,7 +80,7 @@ def test_token_budget(spark):
         [("s", 0, "1", "eng_Latn", "HTTPS://www.Blog.A.example:80/x", 0.5, "2024-01-01"), ("s", 0, "1", "FR", "b.example/y", 0.1, "2024-02-01"), ("s", 1, "2", None, None, None, None)],
         "source_parquet string, source_row_index bigint, id string, language string, url string, language_score double, ingested_at string",
     )
-    got = {(r["dataset_type"], r["language"], r["domain"]): (r["chunks"], r["chars"], r["tokens"], r["bpe_tokens"]) for r in subword_trie.token_budget(chunks, crawl, PATH).collect()}
+    got = {(r["dataset_type"], r["language"], r["domain"]): (r["chunks"], r["chars"], r["tokens"], r["longest_match_tokens"]) for r in subword_trie.token_budget(chunks, crawl, PATH).collect()}
     assert got == {("fineweb", "fr", "b.example"): (2, 16, 3, 3), ("unknown", "unknown", "unknown"): (1, 0, 0, 0), ("dclm", "unknown", "unknown"): (1, 1, 1, 1)}
 
 
