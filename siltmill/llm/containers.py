@@ -52,34 +52,37 @@ def dominant(counts: dict[int, int], capacity: int) -> Plan:
                 take(both, size, capacity - size)
         elif size * 2 == capacity and counts.get(size, 0) > 1:
             take(counts[size] // 2, size, size)
-    # From the largest on: nothing fits beside it, or at most one item and the largest that fits is the best of these.
-    while counts:
+    # From the largest on: nothing fits beside it, or at most one item and the largest that fits is the best of these. Where that fails for one size, it may
+    # hold for a smaller one, beside which a larger item may stand; so all sizes are gone through, again as long as any was fixed.
+    changed = True
+    while changed and counts:
+        changed = False
         order = sorted(counts)
-        large = order[-1]
-        free = capacity - large
-        if order[0] > free or (len(order) == 1 and counts[large] == 1):
-            take(counts[large] if order[0] > free else 1, large)
-            continue
-        fitting = order[: bisect.bisect_right(order, free)]
-        partner = fitting[-1]
-        if large == partner and counts[large] < 2:
-            fitting.pop()
-            if not fitting:
-                take(1, large)
-                continue
-            partner = fitting[-1]
-        smallest = fitting[0]
-        second = smallest if counts[smallest] > 1 + (smallest == large) else (fitting[1] if len(fitting) > 1 else capacity)
-        if smallest + second > free or partner >= _best_pair(fitting, counts, free):
-            if large == partner:
-                take(counts[large] // 2, large, large)
-            else:
-                take(min(counts[large], counts[partner]), large, partner)
-            continue
-        break
+        for size in order[::-1]:
+            while size in counts and (held := _dominating(size, order, counts, capacity)):
+                take(*held)
+                order = [s for s in order if s in counts] if len(counts) != len(order) else order
+                changed = True
     return plan
 
 
+def _dominating(size: int, order: list[int], counts: dict[int, int], capacity: int) -> tuple[int, ...] | None:
+    """How many containers hold an item of this size with what dominates all else beside it, and the sizes held; None where nothing does. order: all sizes."""
+    free = capacity - size
+    if order[0] > free or (len(order) == 1 and counts[size] == 1):
+        return (counts[size] if order[0] > free else 1), size
+    end = bisect.bisect_right(order, free)
+    single = counts[size] < 2 and size <= free
+    fitting = [s for s in order[:end] if s != size] if single else order[:end]
+    if not fitting:
+        return 1, size
+    partner, smallest = fitting[-1], fitting[0]
+    second = smallest if counts[smallest] > 1 + (smallest == size) else (fitting[1] if len(fitting) > 1 else capacity)
+    if smallest + second > free or partner >= _best_pair(fitting, counts, free):
+        return (counts[size] // 2, size, size) if size == partner else (min(counts[size], counts[partner]), size, partner)
+    return None
+
+
 def _best_pair(sizes: list[int], counts: dict[int, int], free: int) -> int:
     """Largest sum of any number of the sizes, two at least, that is no more than free; free if three may fit."""
     if len(sizes) and sizes[0] * 3 <= free:
