@@ -187,8 +187,21 @@ def joined_chat_content(content: Column) -> Column:
     return F.coalesce(F.when(F.startswith(content, F.lit("[")), F.array_join(F.transform(blocks, block), "")), content, F.lit(""))
 
 
+#: What tokenised encyclopedia text has, and what it was, in the order in which they are undone.
+DETOKENISED = (
+    ("s '", "s'"), (" @-@ ", "-"), (" @,@ ", ","), (" @.@ ", "."), (" : ", ": "), (" ; ", "; "), (" . ", ". "), (" ! ", "! "), (" ? ", "? "), (" , ", ", "),
+    ("( )", ""), ("[ ]", ""), ("{ }", ""), ('" "', ""), ("' '", ""),
+    ("= = = =", "===="), ("= = =", "==="), ("= =", "=="), (" ° ", "°"), (" \n", "\n"), ("\n ", "\n"), (" N ", " 1 "), (" 's", "'s"),
+)
+
+
 def plain_sentences(text: Column) -> Column:
-    """Tokenised encyclopedia text made readable: marked separators, blanks before punctuation, split contractions."""
-    for pattern, to in ((r" @([-,.])@ ", "$1"), (r" ([,;:.!?%)\]])", "$1"), (r"([(\[$]) ", "$1"), (r" (n't|'s|'re|'ve|'ll|'d|'m)\b", "$1"), (r" {2,}", " ")):
-        text = F.regexp_replace(text, pattern, to)
+    """Tokenised encyclopedia text made readable. A rule of two marks with a blank between them takes the blanks inside such a pair away."""
+    for written, plain in DETOKENISED:
+        if plain:
+            text = F.replace(text, F.lit(written), F.lit(plain))
+        else:
+            opening, closing = written[0], written[-1]
+            pattern = rf"{quoted(opening)}\s*([^{quoted(closing)}]*?)\s*{quoted(closing)}"
+            text = F.regexp_replace(text, f"(?U){pattern}", rf"\{opening}$1\{closing}")
     return text

@@ -135,9 +135,27 @@ def plain_latex(text: str) -> str:
     return re.sub(r"\s+", "", out).rstrip(".")
 
 
-@F.pandas_udf(K.StringType())
-def latex_normal(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: plain_latex(t) if t else "")
+def latex_normal(answer: Column | str) -> Column:
+    """The same inside the JVM."""
+    out = F.coalesce(F.col(answer) if isinstance(answer, str) else answer, F.lit(""))
+    change = lambda pattern, to: F.regexp_replace(out, f"(?U){pattern}", to)
+    out = change(r"^\s+|\s+$", "")
+    out = change(r"\.+$", "")
+    out = change(r"^\$+|\$+$", "")
+    for gone in ("\\!", "\\,", "\\ ", "\\left", "\\right", "\\$", "\\%", "%"):
+        out = F.replace(out, F.lit(gone), F.lit(""))
+    out = change(r"\^\{?\\circ\}?", "")
+    out = F.replace(F.replace(out, F.lit("dfrac"), F.lit("frac")), F.lit("tfrac"), F.lit("frac"))
+    out = change(_UNITS.pattern, "")
+    out = change(r"\\(?:text|mbox|mathrm)\{([^{}]*)\}", "$1")
+    out = change(_BARE_FRACTION.pattern, r"\\frac{$1$2}{$3$4}")
+    out = change(r"\\sqrt\s*(\w)", r"\\sqrt{$1}")
+    out = change(_SLASHED.pattern, r"\\frac{$1}{$2}")
+    out = change(r"^\w\s*=\s*", "")
+    out = change(r"(?<!\d)\.(\d)", "0.$1")
+    out = change(r"(\d)\.0+(?!\d)", "$1")
+    out = change(r"\s+", "")
+    return change(r"\.+$", "")
 
 
 def greedy_fragments(source: list[str], summary: list[str]) -> list[int]:

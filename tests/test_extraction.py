@@ -87,5 +87,6 @@ def test_chat_content(spark):
 
 
 def test_plain_sentences(spark):
-    got = spark.createDataFrame([("it 's 1 @,@ 000 ( one ) .",)], "t string").select(T.plain_sentences(F.col("t"))).first()[0]
-    assert got == "it's 1,000 (one)."
+    made = {"it 's 1 @,@ 000 ( one ) . Next : \" a b \" , N x @-@ y": "it's 1,000 (one). Next: \"a b\", 1 x-y", "= = Head = = \n text": "== Head ==\ntext", "boys ' [ a ] { b }": "boys' [a] {b}", "": ""}
+    df = spark.createDataFrame([(k,) for k in made], "t string")
+    assert {r[0]: r[1] for r in df.select("t", T.plain_sentences(F.col("t"))).collect()} == made

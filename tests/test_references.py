@@ -3,6 +3,7 @@
 import difflib
 import hashlib
 import os
+import random
 from collections import Counter
 
 import pytest
@@ -86,6 +87,14 @@ def test_plain_latex(raw, plain):
     assert extraction.plain_latex(raw) == plain
 
 
+def test_latex_inside_the_jvm(spark):
+    rng = random.Random(4)
+    pieces = [r"\dfrac", r"\tfrac12", r"\frac{1}{2}", "3/4", "-3/4", r"\sqrt3", r"\sqrt{2}", r"^\circ", r"\text{ cm}^2", r"\text{m}", r"\mbox{yes}", "x = ", "7", ".5", "2.00", " ", r"\left(", r"\right)", r"\$", r"\%", "%", "$", ".", ",", "\u00a0", "{a}", r"\,", "é"]
+    made = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 7))) for _ in range(600)]
+    rows = spark.createDataFrame(list(enumerate(made)), "i int, t string").select("i", extraction.latex_normal("t").alias("n")).collect()
+    assert {r["i"]: r["n"] for r in rows} == {i: extraction.plain_latex(t) for i, t in enumerate(made)}
+
+
 def f1(a, b):
     x, y = set(a.lower().split()), set(b.lower().split())
     return 2 * len(x & y) / (len(x) + len(y)) if x & y else 0.0
