@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import without_brackets
+
 LETTERS = [chr(65 + i) for i in range(26)]
 
 
@@ -125,3 +127,20 @@ def example_pair(row: DataFrame) -> tuple[Column, Column]:
         return F.trim(first("text")), F.trim(F.col("target"))
     program = F.col("metadata.chunk_program") if "metadata" in has else F.lit("")
     return F.trim(first("doc_content", "raw_content", "text")), F.trim(F.coalesce(program, F.lit("")))
+
+
+def lettered_item(question: Column, choices: Column, letter: Column) -> Column:
+    """query, choices (a blank in front) and gold_index of a row whose answer is a letter."""
+    return F.struct(question.alias("query"), F.transform(choices, lambda c: F.concat(F.lit(" "), c)).alias("choices"), gold_from_letter(letter).cast("int").alias("gold_index"))
+
+
+def numbered_item(context: Column, question: Column, choices: Column, number: Column) -> Column:
+    """The same of a row with a context and an answer counted from 1."""
+    return F.struct(F.concat_ws(" ", context, question).alias("query"), F.transform(choices, lambda c: F.concat(F.lit(" "), c)).alias("choices"), (number.cast("int") - 1).alias("gold_index"))
+
+
+def ending_item(activity: Column, first: Column, second: Column, endings: Column, label: Column) -> Column:
+    """The same of a how-to row: activity and the two parts of its context, cleaned, with possible endings; -1 without a label."""
+    context = F.concat(activity, F.lit(": "), first, F.lit(" "), F.upper(F.substring(second, 1, 1)), F.lower(F.substring(second, 2, 1_000_000_000)), F.lit(" "))
+    fitted = F.transform(endings, lambda e: F.concat(F.lit(" "), without_brackets(e)))
+    return F.struct(without_brackets(context).alias("query"), fitted.alias("choices"), F.coalesce(F.when(F.trim(label) != "", label.try_cast("int")), F.lit(-1)).alias("gold_index"))

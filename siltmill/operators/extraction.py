@@ -27,6 +27,52 @@ def code_blocks(transcript: Column) -> Column:
     return F.regexp_extract_all(transcript, F.lit(r"(?s)```(?:python|py)\n(.*?)\n?```"), 1)
 
 
+#: What an output says when its program failed.
+FAILURES = ("error", "exception", "no algorithms", "cannot", "nan", "...")
+
+
+def transcript_parts(text: str) -> list[tuple[str, str]] | None:
+    """Rationales, programs and outputs of a transcript in turn, each with the line ends it has; None where the fences do not fit together."""
+    parts: list[tuple[str, str]] = []
+    role, held = "rationale", ""
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        opens, closes, reports = line == "```python", line == "```", line.startswith("```output")
+        if opens and role != "rationale" or closes and role == "program" and not held or reports and role == "output" and held:
+            return None
+        if opens or closes and role != "rationale":
+            if held or role == "output":
+                parts.append((role, held))
+            role, held = {"rationale": "program", "program": "output", "output": "rationale"}[role], ""
+        elif not (reports and role == "output"):
+            held += line + "\n" * (i < len(lines) - 1)
+    return [*parts, (role, held)] if held else parts
+
+
+def transcript_program(text: str, last_only: bool = False) -> str:
+    """One program out of a transcript's: of those that failed only the imports, of all but the last no lines that print. "" where the fences do not fit."""
+    parts = transcript_parts(text) or []
+    programs, imports = [], []
+    for i, (role, content) in enumerate(parts):
+        if role == "program":
+            output = parts[i + 1][1].lower() if i + 1 < len(parts) else ""
+            if any(x in output for x in FAILURES):
+                imports += [x for x in content.split("\n") if x.startswith(("import", "from"))]
+            else:
+                programs.append(content)
+    programs = programs or [""]
+    if imports:
+        programs[0] = "\n".join([*imports, programs[0]])
+    quiet = ["\n".join(x for x in p.split("\n") if not x.strip().startswith("print(")) for p in programs[:-1]]
+    return programs[-1] if last_only else "\n".join([*quiet, programs[-1]])
+
+
+@F.pandas_udf(K.StringType())
+def program_of(transcripts: pd.Series) -> pd.Series:
+    """transcript_program of a column; null is empty."""
+    return pd.Series([transcript_program(t or "") for t in transcripts], dtype=object)
+
+
 def ground_truth(answer: Column, form: str) -> Column:
     """The gold answer of a data row by the form in which its data set has it."""
     if form == "hashes":  # a worked solution ending in #### and the answer

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import html
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -139,6 +140,17 @@ def inline_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+@F.pandas_udf(K.StringType())
+def diff_html(before: pd.Series, after: pd.Series) -> pd.Series:
+    """Both strings in one stretch of HTML: what went is marked as deleted, what came as inserted."""
+    mark = lambda tag, kind, text: f'<{tag} class="diff-{kind}">{html.escape(text)}</{tag}>' if text else ""
+    out = []
+    for a, b in zip(before.fillna(""), after.fillna("")):
+        steps = difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+        out.append("".join(html.escape(a[i:j]) if tag == "equal" else mark("del", "del", a[i:j]) + mark("ins", "ins", b[k:m]) for tag, i, j, k, m in steps))
+    return pd.Series(out, dtype=object)
+
+
 def masked_text(text: Column, mask: Column) -> Column:
     """The characters that the mask keeps."""
     return F.array_join(F.zip_with(F.split(text, ""), F.split(mask, ""), lambda c, m: F.when(m == "1", c).otherwise("")), "")

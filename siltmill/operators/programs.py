@@ -105,7 +105,7 @@ def with_merged_ranges(df: DataFrame, ranges: str, name: str) -> DataFrame:
 
 
 def execute(df: DataFrame, text: str, program: str) -> DataFrame:
-    """Adds edited, errors, removed_lines and merged (the ranges) to every row.
+    """Adds edited, errors, removed_lines (their number), merged (the ranges), removed (the lines themselves) and replaced (source and target of each) to every row.
 
     The steps are separate projections, so that Spark evaluates the parsed program once for each row. Lines are taken in stretches between the merged
     ranges, so the work grows as lines and ranges together.
@@ -129,6 +129,10 @@ def execute(df: DataFrame, text: str, program: str) -> DataFrame:
     own = F.aggregate("__ops", F.lit(0), lambda n, o: n + o["errors"])
     done = done.withColumn("__kept", kept).withColumn("errors", _once((own + beyond).cast("bigint")))
     done = done.withColumn("edited", _once(F.array_join("__kept", "\n"))).withColumn("removed_lines", _once((count - F.size("__kept")).cast("bigint")))
+    within = lambda r: F.slice(F.col("__lines"), F.greatest(r["first"], F.lit(0)).cast("int") + 1, (F.least(r["last"], count - 1) - F.greatest(r["first"], F.lit(0)) + 1).cast("int"))
+    removed = F.when(F.col("__all"), F.col("__lines")).otherwise(F.flatten(F.transform("__gone", within)))
+    replaced_ = F.transform(F.filter("__ops", lambda o: o["kind"].isin("delete", "replace")), lambda o: F.struct(o["source"].alias("source"), o["target"].alias("target")))
+    done = done.withColumn("removed", _once(removed)).withColumn("replaced", _once(replaced_))
     return done.drop("__text", "__ops", "__lines", "__ranges", "__real", "__gone", "__all", "__kept")
 
 

@@ -271,6 +271,12 @@ def reading_words(answer: str) -> list[str]:
     return out
 
 
+@F.pandas_udf(K.StringType())
+def reading_normal(answers: pd.Series) -> pd.Series:
+    """An answer as reading comprehension compares it."""
+    return pd.Series([" ".join(reading_words(a or "")) for a in answers], dtype=object)
+
+
 def spans_score(golds_: list[str], found: list[str]) -> tuple[float, float]:
     """Exact match of the spans as sets, and the mean word F1 of their best one-to-one assignment; a span without any of the gold one's numbers does not match it."""
     gold_words, words_ = ([reading_words(x) for x in z] for z in (golds_, found))

@@ -229,3 +229,17 @@ def reported_tasks(spark: SparkSession, d: str) -> DataFrame:
     wide = scores.with_missing(scores.pivoted(rows, "model", "task_name", "v").drop("average"))
     tasks = [c for c in wide.columns if c != "model"]
     return wide.select("model", F.size(F.filter(F.array(*tasks), lambda x: x != "N/A")).cast("bigint").alias("tasks"))
+
+
+@query(
+    r"""SELECT id, md5(query || ' ' || task_name) AS numbered, gold_index[1] AS gold, md5(array_to_string(list_transform(choices, lambda c: ' ' || c), '|')) AS listed,
+    md5(replace(regexp_replace(replace(task_name || ': ' || query || ' ' || upper(left(choices[1], 1)) || lower(substr(choices[1], 2)) || ' ', ' [title]', '. '), '\[[^\]]*\]', '', 'g'), '  ', ' ')) AS ending FROM doc""".replace("\\\\", "\\")
+)
+def item_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of three kinds of data sets made items."""
+    q, c, gold = F.col("query"), F.col("choices"), F.get("gold_index", F.lit(0))
+    numbered, lettered = prompts.numbered_item(q, F.col("task_name"), c, gold + 1), prompts.lettered_item(q, c, F.char(gold + 65))
+    ending = prompts.ending_item(F.col("task_name"), q, F.get(c, F.lit(0)), c, gold.cast("string"))
+    rows = table(spark, d, "doc").select("id", numbered.alias("n"), lettered.alias("l"), ending.alias("e"))
+    same = F.when((F.col("n.gold_index") == F.col("l.gold_index")) & (F.col("l.gold_index") == F.col("e.gold_index")), F.col("l.gold_index"))
+    return rows.select("id", F.md5("n.query").alias("numbered"), same.alias("gold"), F.md5(F.array_join("l.choices", "|")).alias("listed"), F.md5("e.query").alias("ending"))

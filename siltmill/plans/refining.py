@@ -198,6 +198,16 @@ def refine_chunks(spark: SparkSession, d: str) -> DataFrame:
     return refined_chunks(spark, d).select("chunk_id", "removed_lines", "errors", "status", F.md5("refined").alias("refined"))
 
 
+@query(
+    _CHUNKS
+    + """, rl AS (SELECT chunk_id, string_agg(line, chr(10) ORDER BY i) AS removed FROM ln WHERE everything OR (chunk_id, i) IN (SELECT chunk_id, i FROM gone) GROUP BY chunk_id), rs AS (SELECT chunk_id, count(*) AS replaced FROM ops WHERE kind IN ('delete', 'replace') GROUP BY chunk_id)
+    SELECT chunk_id, md5(coalesce(removed, '')) AS removed, CAST(coalesce(replaced, 0) AS BIGINT) AS replaced FROM rep LEFT JOIN rl USING (chunk_id) LEFT JOIN rs USING (chunk_id)"""
+)
+def removal_report(spark: SparkSession, d: str) -> DataFrame:
+    """What the programs took out of each chunk, and how many replacements they asked for."""
+    return refined_chunks(spark, d).select("chunk_id", F.md5(F.array_join("removed", "\n")).alias("removed"), F.size("replaced").cast("bigint").alias("replaced"))
+
+
 @query(_CHUNKS + "SELECT chunk_id, CAST(s AS BIGINT) AS first_line, CAST(e AS BIGINT) AS last_line FROM mrg")
 def merge_intervals(spark: SparkSession, d: str) -> DataFrame:
     return refined_chunks(spark, d).select("chunk_id", F.explode("merged").alias("m")).select("chunk_id", F.col("m.first").alias("first_line"), F.col("m.last").alias("last_line"))

@@ -253,3 +253,30 @@ def test_shared_folder_is_needed_on_clusters():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_folder(Session())
+
+
+def test_transcripts(spark):
+    text = "Let us see.\n```python\nimport math\nprint(1)\nx = 2\n```\n```output\n1\n```\nThen\n```python\nfrom os import path\ny = 1 / 0\n```\n```output\nZeroDivisionError\n```\nAgain\n```python\nz = x\nprint(z)\n```\n```output\n2\n```\nSo 2."
+    parts = extraction.transcript_parts(text)
+    assert [r for r, _ in parts] == ["rationale", "program", "output"] * 3 + ["rationale"] and parts[0][1] == "Let us see.\n" and parts[-1][1] == "So 2."
+    made = "from os import path\nimport math\nx = 2\n\nz = x\nprint(z)\n"
+    assert extraction.transcript_program(text) == made and extraction.transcript_program(text, last_only=True) == "z = x\nprint(z)\n"
+    assert extraction.transcript_parts("```python\na\n```python\n") is None and extraction.transcript_parts("") == [] and extraction.transcript_program("no fences") == ""
+    df = spark.createDataFrame([(1, text), (2, None)], "i int, t string")
+    assert {r["i"]: r["p"] for r in df.select("i", extraction.program_of("t").alias("p")).collect()} == {1: made, 2: ""}
+
+
+def test_diff_html(spark):
+    df = spark.createDataFrame([("a<b c", "a<b d", 1), ("same", "same", 2), ("", "new", 3), (None, None, 4)], "a string, b string, i int")
+    got = {r["i"]: r["h"] for r in df.select("i", pairs.diff_html("a", "b").alias("h")).collect()}
+    assert got == {1: 'a&lt;b <del class="diff-del">c</del><ins class="diff-ins">d</ins>', 2: "same", 3: '<ins class="diff-ins">new</ins>', 4: ""}
+
+
+def test_reading_normal(spark):
+    df = spark.createDataFrame([("The twenty-one, 7 Dogs!", 1), ("3.50", 2), (None, 3)], "t string, i int")
+    assert {r["i"]: r["n"] for r in df.select("i", scores.reading_normal("t").alias("n")).collect()} == {1: "twenty one 7.0 dogs", 2: "3.5", 3: ""}
+
+
+def test_items(spark):
+    e = one(spark, prompts.ending_item(F.lit("Baking"), F.lit("She took [header] dough."), F.lit("then SHE"), F.col("c"), F.lit("")), c=["ran [x] off", "sat"])
+    assert (e["query"], e["choices"], e["gold_index"]) == ("Baking: She took dough. Then she ", [" ran off", " sat"], -1)
