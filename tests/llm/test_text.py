@@ -474,6 +474,13 @@ def test_page_table(spark):
     assert page_body.site_lines(empty, "chunk_id", "chunk_body").count() == page_body.main_text(empty, "chunk_id", "chunk_body").count() == 0
 
 
+def test_a_line_said_again_and_again_is_no_link():
+    rng = random.Random(10)
+    links = page_body.sample_links([t for t, _ in pages("en", 200, rng)])
+    classes = lambda t: page_body.page_classes(t.split("\n"), links, {})
+    assert set(classes("Gallery\n" * 6 + "Gallery")) == {page_body.MAIN} and set(classes("Gallery\nNews\nGallery\nContact")) == {page_body.SITE}
+
+
 def test_long_notices_are_judged_like_short_ones():
     rng = random.Random(9)
     notice = "Our partners and our own website set cookies and store identifiers on every device, among them those for measurement, advertising, personalisation, audience research and product development, for the period stated in the notice. Accept everything Manage choices"
