@@ -474,6 +474,17 @@ def test_page_table(spark):
     assert page_body.site_lines(empty, "chunk_id", "chunk_body").count() == page_body.main_text(empty, "chunk_id", "chunk_body").count() == 0
 
 
+def test_labels_recur_whatever_the_number_of_pages(spark):
+    """300 pages with a thousand lines each of their own do not take a label off the four pages that it stands on."""
+    rng = random.Random(11)
+    line = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4)).title() + " zq"
+    few = [t for t, _ in pages("en", 40, rng)] + ["Imprint of the house\nSome text of the page."] * 4
+    many = few + ["\n".join(map(line, range(i, i + 1000))) for i in range(0, 300_000, 1000)]
+    small, large = (page_body.corpus_links(spark.createDataFrame([(t,) for t in x], "chunk_body string").repartition(4), "chunk_body") for x in (few, many))
+    assert "Imprint of the house" in small.links
+    assert small == large
+
+
 def test_a_line_said_again_and_again_is_no_link():
     rng = random.Random(10)
     links = page_body.sample_links([t for t, _ in pages("en", 200, rng)])
