@@ -66,6 +66,22 @@ def test_small_tables_are_fitted_too(n):
     assert truncation.fit_ends([None, " "], [None, 1]) is None
 
 
+def test_every_row_is_fitted_on_or_held_out(spark, monkeypatch):
+    """The model of a table in several shards knows every row: words, examples and thresholds come from all, wherever the rows lie."""
+    rng = random.Random(6)
+    rows = [(i, whole(rng), None) for i in range(900)] + [(900, "Two quokkas met.", None), (901, "More quokkas came.", None)]
+    df = spark.createDataFrame(rows, "chunk_id bigint, chunk_body string, most int")
+    numbers = set()
+    monkeypatch.setattr(truncation, "SHARD", 200)
+    monkeypatch.setattr(truncation, "calibrated", lambda counts, model: numbers.add(sum(int(n[0]) for (_, w), n in counts.items() if w == truncation.HELD)) or model)
+    model = truncation.fitted_ends(df.repartition(3), "chunk_id", "chunk_body", "most")
+    again = truncation.fitted_ends(df.orderBy("chunk_body").coalesce(1), "chunk_id", "chunk_body", "most")
+    assert model.known.level("quokkas") == 2 and model.known.level("teacher") > 6
+    assert np.array_equal(model.weights, again.weights)
+    held = sum(np.random.default_rng((7, r["n"])).random() < truncation.HELD_OUT for r in df.selectExpr("pmod(xxhash64(chunk_id, chunk_body), 1L << 60) n").collect())
+    assert numbers == {held}
+
+
 def test_best_threshold():
     rng = np.random.default_rng(0)
     cut, ends = rng.beta(8, 2, 4000), rng.beta(2, 8, 4000)
