@@ -133,6 +133,23 @@ def test_abuse(spark):
     assert none.where("is_abusive OR abuse_score > 0").count() == 0
 
 
+def test_every_labelled_document_is_fitted_on_or_held_out(spark, monkeypatch):
+    """Words that few of many labelled documents have are known, wherever the documents lie and in however many shards."""
+    rng = random.Random(7)
+    rare = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(300)]
+    rows = [(i, f"The {rare[i // 6]} was {rng.choice(VERBS)}." if i < 1800 else sentence(rng) if i % 40 else "You worthless idiot.", "en", "a") for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int("idiot" in t)) for i, t, _, _ in rows], "doc_id bigint, toxic int")
+    for name, n in (("SHARD", 4000), ("FIRST_STEPS", 300), ("STEPS", 300)):
+        monkeypatch.setattr(abuse, name, n)
+    judged = [abuse.judged_rows(x, labels, "doc_id", "text", "lang", "source", "toxic") for x in (df.repartition(5), df.coalesce(1))]
+    model, again = map(abuse.fit_abuse, judged)
+    buckets, _ = abuse.word_buckets(TextBlock(rare))
+    assert model.known[buckets].mean() > 0.9
+    assert np.array_equal(model.words, again.words) and model.thresholds == again.thresholds
+    assert abuse.scores_of([r["words"] for r in judged[0].where("y = 1").limit(5).collect()], model).min() > model.threshold("en")
+
+
 def test_pooling_against_a_loop():
     rng = np.random.default_rng(1)
     rows = [rng.integers(2, 50, n) for n in (7, 1, 0, 12)]
