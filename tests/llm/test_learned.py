@@ -82,6 +82,26 @@ def test_every_row_is_fitted_on_or_held_out(spark, monkeypatch):
     assert numbers == {held}
 
 
+def test_rows_are_scored_from_the_features_they_were_fitted_on(spark):
+    """What is looked up once for a text gives each beginning of it the features of its own; a table's rows are scored by those, without their texts."""
+    rng = random.Random(8)
+    texts = [whole(rng) for _ in range(120)] + ["Das İstanbul ΣΑΣ' x. \0 odd\0 one. " * 3, "a.] b.* c。 d！ e\ud800 x" * 5, "Word. " * 90 + "Étéword", "no"]
+    known, links = truncation.Words.of(truncation.Counter(w for t in texts for w in truncation.text_words(t))), page_body.sample_links(texts)
+    for text in texts:
+        found = truncation.Whole(text, known)
+        for size in {*range(1, len(text), 7), len(text)}:
+            t = text[:size]
+            kind = truncation.end_kind(t)
+            assert kind == truncation.end_kind(t, found)
+            assert not t.strip() or truncation.features(t, 9, known, links, kind, {}) == truncation.features(t, 9, known, links, kind, {}, found)
+    rows = [(i, whole(rng), f"s{i % 3}", 50) for i in range(300)] + [(900, None, "s", 1), (901, " ", "s", None), (902, "1 2 3 | | 4\n" * 40, "s", 0), (5, rows_text := prose(rng)[:-9], "s", 50), (5, rows_text, "s", 50)]
+    df = spark.createDataFrame(rows, "id bigint, body string, src string, most int")
+    by_text = truncation.score_ends(df, "id", "body", "most", ("src",), truncation.fitted_ends(df, "id", "body", "most"))
+    by_row = truncation.score_ends(df, "id", "body", "most", ("src",))
+    assert by_row.schema == by_text.schema and "body" not in by_row._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, by_row.collect())) == sorted(map(tuple, by_text.collect())) and by_row.count() == len(rows)
+
+
 def test_best_threshold():
     rng = np.random.default_rng(0)
     cut, ends = rng.beta(8, 2, 4000), rng.beta(2, 8, 4000)
