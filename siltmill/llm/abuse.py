@@ -43,8 +43,8 @@ SURE, SURE_NOT, NOT_TO_SURE = 0.85, 0.06, 2
 FIRST_STEPS, STEPS, LEAST_PASSES, MOST_PASSES, STEP, HELD_OUT = 1_300, 2_000, 5, 40, 32, 0.2
 #: Documents of a shard, at most or so: with them the least passes make up the steps.
 SHARD = STEPS * STEP // LEAST_PASSES
-#: Words that are scored at once.
-SCORED_WORDS = 70_000
+#: Words that are scored at once: what they take should fit a core's cache.
+SCORED_WORDS = 8_000
 #: A word is known from this many documents on, whatever their number.
 MIN_DOCUMENTS = 3
 #: Fewest positive documents of a language for a threshold of its own.
@@ -127,6 +127,31 @@ def word_buckets(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
     return (block.word_hash >> np.uint64(49)).astype(np.int64) + 2, first
 
 
+def convolved(vectors: np.ndarray, filters: list[np.ndarray], ids: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each width the value of every filter on the windows that begin at the first n words. Words are given by their place among the vectors, each of which is multiplied once."""
+    out, part = [], np.empty((n, FILTERS), np.float32)
+    for width, weights in zip(WIDTHS, filters):
+        total = (vectors @ weights[:SIZE]).take(ids[:n], axis=0)
+        for j in range(1, width):
+            total += np.take(vectors @ weights[j * SIZE : (j + 1) * SIZE], ids[j : j + n], axis=0, out=part, mode="clip")
+        out.append(total)
+    return out
+
+
+class Places:
+    """The distinct ones of some buckets in order, and the place of each among them."""
+
+    def __init__(self):
+        self.has, self.place = np.zeros(BUCKETS + 2, bool), np.zeros(BUCKETS + 2, np.int64)
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.has[ids] = True
+        used = np.flatnonzero(self.has)
+        self.has[used] = False
+        self.place[used] = np.arange(len(used))
+        return used, self.place[ids]
+
+
 @dataclass
 class AbuseModel:
     known: np.ndarray
@@ -139,26 +164,21 @@ class AbuseModel:
 
     def pooled(self, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Maximum of every filter over each text. Words are projected once for each distinct one."""
-        used, ids = np.unique(np.where(self.known[buckets], buckets, UNKNOWN), return_inverse=True)
         counts = np.diff(first)
         pad = max(WIDTHS) - 1
         # each text is followed by pads
         starts = first[:-1] + pad * np.arange(len(counts))
-        laid = np.full(int(first[-1]) + pad * len(counts) + pad, len(used), np.int64)
-        laid[np.arange(len(ids)) + pad * np.repeat(np.arange(len(counts)), counts)] = ids
-        vectors = np.concatenate((self.words[used], self.words[PAD : PAD + 1]))
-        n = len(laid) - pad
+        laid = np.full(int(first[-1]) + pad * len(counts) + pad, PAD, np.int64)
+        laid[np.arange(len(buckets)) + pad * np.repeat(np.arange(len(counts)), counts)] = np.where(self.known[buckets], buckets, UNKNOWN)
+        used, ids = Places().of(laid)
         out = np.zeros((len(counts), FILTERS * len(WIDTHS)), np.float32)
         filled = counts > 0
-        for k, (width, weights) in enumerate(zip(WIDTHS, self.filters)):
-            total = None
-            for j in range(width):
-                part = (vectors @ weights[j * SIZE : (j + 1) * SIZE])[laid[j : j + n]]
-                total = part if total is None else np.add(total, part, out=total)
-            # windows begin at the text's own words; they may reach into its pads, never into the next text
-            edges = np.minimum(np.stack((starts, starts + counts), 1).ravel(), n - 1)
-            top = np.maximum.reduceat(total, edges, axis=0)[::2] + self.biases[k]
-            out[filled, k * FILTERS : (k + 1) * FILTERS] = np.maximum(top[filled], 0)
+        # windows begin at the text's own words; they may reach into its pads, never into the next text
+        spans = list(zip(np.flatnonzero(filled).tolist(), starts[filled].tolist(), (starts + counts)[filled].tolist()))
+        for k, total in enumerate(convolved(self.words[used], self.filters, ids, len(laid) - pad)):
+            for i, a, b in spans:
+                total[a:b].max(0, out=out[i, k * FILTERS : (k + 1) * FILTERS])
+        out[filled] = np.maximum(out[filled] + np.concatenate(self.biases), 0)
         return out
 
     def scores(self, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -214,47 +234,49 @@ class Training:
     def fit(self, rows: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, rate: float, rng: np.random.Generator) -> None:
         """One pass over documents given as arrays of the buckets of known words."""
         words, (filters, biases, out, out_bias) = self.words, self.arrays()
-        pad = max(WIDTHS) - 1
+        pad, columns, places = max(WIDTHS) - 1, np.arange(FILTERS), Places()
         order = rng.permutation(len(rows))
+        pads = np.full(pad, PAD)
         for i in range(0, len(order), STEP):
             part = order[i : i + STEP]
-            ids = np.concatenate([np.concatenate((rows[d], np.full(pad, PAD))) for d in part] + [np.full(pad, PAD)])
+            laid = np.concatenate([x for d in part for x in (rows[d], pads)] + [pads])
             ends = np.cumsum([len(rows[d]) + pad for d in part])
             begins = np.concatenate(([0], ends[:-1]))
-            vectors = words[ids]
-            n = int(ends[-1])
-            tops, places = [], []
-            for width, weights, bias in zip(WIDTHS, filters, biases):
-                h = vectors[:n] @ weights[:SIZE]
-                for j in range(1, width):
-                    h += vectors[j : j + n] @ weights[j * SIZE : (j + 1) * SIZE]
-                at = np.stack([h[a : b - pad].argmax(0) + a for a, b in zip(begins, ends)])
-                tops.append(h[at, np.arange(FILTERS)] + bias)
-                places.append(at)
+            used, ids = places.of(laid)
+            at, tops = np.empty((len(part), FILTERS * len(WIDTHS)), np.int64), []
+            spans = list(zip(begins.tolist(), (ends - pad).tolist()))
+            for k, total in enumerate(convolved(words[used], filters, ids, int(ends[-1]))):
+                mine = at[:, k * FILTERS : (k + 1) * FILTERS]
+                for row, (a, b) in zip(mine, spans):
+                    row[:] = total[a:b].argmax(0)
+                mine += begins[:, None]
+                tops.append(total[mine, columns] + biases[k])
             raw = np.concatenate(tops, 1)
             keep = (rng.random(raw.shape) > 0.3) / np.float32(0.7)
             active = np.maximum(raw, 0) * keep
             score = 1 / (1 + np.exp(-np.clip(active @ out + out_bias[0], -30, 30)))
             error = ((score - (labels[part] * 0.96 + 0.02)) * weight[part] / len(part)).astype(np.float32)
             d_out = active.T @ error + 1e-4 * out
-            d_top = error[:, None] * out[None, :] * keep * (raw > 0)
-            d_filters, d_biases, touched, d_words = [], [], [], []
-            for k, (width, weights, at) in enumerate(zip(WIDTHS, filters, places)):
-                g = d_top[:, k * FILTERS : (k + 1) * FILTERS].astype(np.float32)
+            g = (error[:, None] * out[None, :] * keep * (raw > 0)).astype(np.float32)
+            # the gradients of the filters' values on each distinct word that one of the windows has
+            document, column = np.nonzero(g)
+            first, moved = at[document, column], g[document, column]
+            of = [np.flatnonzero(column // FILTERS == k) for k in range(len(WIDTHS))]
+            touched, near = places.of(np.concatenate([laid[first[x] + j] for x, width in zip(of, WIDTHS) for j in range(width)]))
+            vectors = words[touched]
+            d_filters, d_words, done = [], np.zeros_like(vectors), 0
+            for x, width, weights in zip(of, WIDTHS, filters):
                 d = np.empty_like(weights)
                 for j in range(width):
-                    near = at + j
-                    d[j * SIZE : (j + 1) * SIZE] = np.einsum("bf,bfd->df", g, vectors[near])
-                    touched.append(ids[near].ravel())
-                    d_words.append((g[:, :, None] * weights[j * SIZE : (j + 1) * SIZE].T[None]).reshape(-1, SIZE))
+                    cells = near[done : done + len(x)] * FILTERS + column[x] % FILTERS
+                    on = np.bincount(cells, moved[x], len(touched) * FILTERS).astype(np.float32).reshape(-1, FILTERS)
+                    done += len(x)
+                    d[j * SIZE : (j + 1) * SIZE] = vectors.T @ on
+                    d_words += on @ weights[j * SIZE : (j + 1) * SIZE].T
                 d_filters.append(d)
-                d_biases.append(g.sum(0))
-            self.descend([*d_filters, *d_biases, d_out, np.array([error.sum()], np.float32)], rate)
-            used, where = np.unique(np.concatenate(touched), return_inverse=True)
-            g = np.zeros((len(used), SIZE), np.float32)
-            np.add.at(g, where, np.concatenate(d_words))
-            self.word_square[used] += (g * g).mean(1)
-            words[used] -= 5 * rate * g / np.sqrt(self.word_square[used])[:, None]
+            self.descend([*d_filters, g.sum(0), d_out, np.array([error.sum()], np.float32)], rate)
+            self.word_square[touched] += (d_words * d_words).mean(1)
+            words[touched] -= 5 * rate * d_words / np.sqrt(self.word_square[touched])[:, None]
             words[PAD] = 0
 
 

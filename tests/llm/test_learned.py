@@ -186,6 +186,38 @@ def test_pooling_against_a_loop():
             assert got[d, k * abuse.FILTERS] == pytest.approx(max(0, best[0] + model.biases[k][0]), abs=1e-4)
 
 
+def test_a_step_multiplies_each_distinct_word_once_and_follows_the_gradient(monkeypatch):
+    """The change of a step against the gradient of a plain loss, by differences; words are projected once however often they stand in the documents."""
+    rng = np.random.default_rng(3)
+    rows = [rng.integers(2, 12, n) for n in (40, 3, 1, 90)]
+    labels, weight, sizes = np.array([1.0, 0, 1, 0]), np.array([2.0, 1, 2, 1]), []
+    monkeypatch.setattr(abuse, "convolved", lambda vectors, *a, of=abuse.convolved: sizes.append(len(vectors)) or of(vectors, *a))
+    before, after = abuse.Training.start(1), abuse.Training.start(1)
+    after.fit(rows, labels, weight, 0.01, np.random.default_rng(4))
+    draw = np.random.default_rng(4)
+    order = draw.permutation(4)
+    keep = (draw.random((4, abuse.FILTERS * len(abuse.WIDTHS))) > 0.3) / 0.7
+
+    def loss(words):
+        filters, biases, out, out_bias = before.arrays()
+        total = 0.0
+        for i, d in enumerate(order):
+            laid = words[[*rows[d], *[abuse.PAD] * (max(abuse.WIDTHS) - 1)]]
+            tops = [np.max([laid[a : a + w].ravel() @ f for a in range(len(rows[d]))], 0) + b for w, f, b in zip(abuse.WIDTHS, filters, biases)]
+            value = (np.maximum(np.concatenate(tops), 0) * keep[i]) @ out + out_bias[0]
+            total += weight[d] * (np.log1p(np.exp(value)) - (labels[d] * 0.96 + 0.02) * value) / 4
+        return total
+
+    start = before.words.astype(np.float64)
+    for word, place in ((2, 0), (5, 7), (11, 23)):
+        step = np.zeros_like(start)
+        step[word, place] = 1e-6
+        wanted = (loss(start + step) - loss(start - step)) / 2e-6
+        got = (before.words - after.words)[word, place] * np.sqrt(after.word_square[word]) / 0.05
+        assert got == pytest.approx(wanted, abs=2e-4, rel=0.02)
+    assert sizes == [11] and np.array_equal(before.words[12:], after.words[12:])
+
+
 def test_hashes_of_words():
     block = TextBlock(["One two ONE", "", "two"])
     assert block.word_hash[0] == block.word_hash[2] != block.word_hash[1] == block.word_hash[3]
