@@ -177,7 +177,7 @@ class AbuseModel:
         spans = list(zip(np.flatnonzero(filled).tolist(), starts[filled].tolist(), (starts + counts)[filled].tolist()))
         for k, total in enumerate(convolved(self.words[used], self.filters, ids, len(laid) - pad)):
             for i, a, b in spans:
-                total[a:b].max(0, out=out[i, k * FILTERS : (k + 1) * FILTERS])
+                np.maximum.reduce(total[a:b], axis=0, out=out[i, k * FILTERS : (k + 1) * FILTERS])
         out[filled] = np.maximum(out[filled] + np.concatenate(self.biases), 0)
         return out
 
@@ -248,7 +248,7 @@ class Training:
             for k, total in enumerate(convolved(words[used], filters, ids, int(ends[-1]))):
                 mine = at[:, k * FILTERS : (k + 1) * FILTERS]
                 for row, (a, b) in zip(mine, spans):
-                    row[:] = total[a:b].argmax(0)
+                    total[a:b].argmax(0, out=row)
                 mine += begins[:, None]
                 tops.append(total[mine, columns] + biases[k])
             raw = np.concatenate(tops, 1)
@@ -263,17 +263,13 @@ class Training:
             first, moved = at[document, column], g[document, column]
             of = [np.flatnonzero(column // FILTERS == k) for k in range(len(WIDTHS))]
             touched, near = places.of(np.concatenate([laid[first[x] + j] for x, width in zip(of, WIDTHS) for j in range(width)]))
-            vectors = words[touched]
-            d_filters, d_words, done = [], np.zeros_like(vectors), 0
-            for x, width, weights in zip(of, WIDTHS, filters):
-                d = np.empty_like(weights)
-                for j in range(width):
-                    cells = near[done : done + len(x)] * FILTERS + column[x] % FILTERS
-                    on = np.bincount(cells, moved[x], len(touched) * FILTERS).astype(np.float32).reshape(-1, FILTERS)
-                    done += len(x)
-                    d[j * SIZE : (j + 1) * SIZE] = vectors.T @ on
-                    d_words += on @ weights[j * SIZE : (j + 1) * SIZE].T
-                d_filters.append(d)
+            vectors, by_place = words[touched], [f.reshape(-1, SIZE, FILTERS).transpose(0, 2, 1).reshape(-1, SIZE) for f in filters]
+            cells = np.concatenate([column[x] % FILTERS + (sum(WIDTHS[:k]) + j) * FILTERS for k, x in enumerate(of) for j in range(WIDTHS[k])])
+            on = np.zeros((len(touched), sum(WIDTHS) * FILTERS), np.float32)
+            np.add.at(on.reshape(-1), near * on.shape[1] + cells, np.concatenate([moved[x] for x, width in zip(of, WIDTHS) for _ in range(width)]))
+            d_words = on @ np.concatenate(by_place)
+            d = (vectors.T @ on).reshape(SIZE, -1, FILTERS).transpose(1, 0, 2)
+            d_filters = np.split(d, np.cumsum(WIDTHS)[:-1])
             self.descend([*d_filters, g.sum(0), d_out, np.array([error.sum()], np.float32)], rate)
             self.word_square[touched] += (d_words * d_words).mean(1)
             words[touched] -= 5 * rate * d_words / np.sqrt(self.word_square[touched])[:, None]
@@ -282,9 +278,12 @@ class Training:
 
 def seen_in(rows: list[np.ndarray]) -> np.ndarray:
     """In how many of the documents each bucket is."""
-    seen = np.zeros(BUCKETS + 2, np.int64)
+    seen, last = np.zeros(BUCKETS + 2, np.int64), np.zeros(BUCKETS + 2, np.int64)
     for r in rows:
-        seen[np.unique(r)] += 1
+        # of each bucket one place, whichever was written last
+        places = np.arange(len(r))
+        last[r] = places
+        seen[r[last[r] == places]] += 1
     return seen
 
 
@@ -343,8 +342,8 @@ def fit_shards(shards: DataFrame, of: int, weights: dict[tuple[int, bool], float
                 mine.sort(key=lambda r: (r[0], r[3]))
                 start, known = sent.value
                 fitted = Training(start.words.copy(), start.word_square.copy(), start.dense.copy(), start.steps)
-                rows = [np.frombuffer(r[3], np.uint16).astype(np.int64) for r in mine]
-                rows = [np.where(known[r], r, UNKNOWN) for r in rows]
+                meant = np.where(known, np.arange(len(known)), UNKNOWN)
+                rows = [meant[np.frombuffer(r[3], np.uint16)] for r in mine]
                 labels, weight = np.array([r[1] for r in mine], float), np.array([weights[r[1], r[2]] for r in mine])
                 for turn in turns:
                     fitted.fit(rows, labels, weight, rate_of(turn, passes), np.random.default_rng((seed, shard, turn)))
@@ -392,13 +391,12 @@ def word_rows(documents: DataFrame, key: str, text: str, language: str, source:
 
 def scores_of(words: list[bytes], model: AbuseModel) -> np.ndarray:
     """The score of each document, whose words are as word_rows gives them."""
-    rows = [np.frombuffer(w, np.uint16).astype(np.int64) for w in words]
     out, begin, size = [np.zeros(0)], 0, 0
-    for i, r in enumerate(rows):
-        size += len(r)
-        if size >= SCORED_WORDS or i == len(rows) - 1:
-            part = rows[begin : i + 1]
-            out.append(model.scores(np.concatenate(part), np.concatenate(([0], np.cumsum(list(map(len, part)))))))
+    for i, w in enumerate(words):
+        size += len(w) // 2
+        if size >= SCORED_WORDS or i == len(words) - 1:
+            part = words[begin : i + 1]
+            out.append(model.scores(np.frombuffer(b"".join(part), np.uint16).astype(np.int64), np.concatenate(([0], np.cumsum([len(x) // 2 for x in part])))))
             begin, size = i + 1, 0
     return np.concatenate(out)
 
